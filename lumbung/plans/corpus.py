@@ -1,0 +1,70 @@
+"""Queries of the general corpus operators: name variants, pieces of long texts, near duplicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumbung.operators import names, neardup, pieces
+from lumbung.sources.tables import read_dimension, read_table
+
+TEXT_COLUMNS = ["title", "abstract", "full_text"]
+
+
+def size_limit(spark: SparkSession, sf_dir: str, name: str) -> dict:
+    """The row of ``size_limits`` for ``name``."""
+    return next(r.asDict() for r in read_dimension(spark, sf_dir, "size_limits") if r["limit_name"] == name)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = read_table(spark, sf_dir, "articles")
+    return names.variant_pairs(names.resolve_names(names.occurrences(articles, ["authors", "publisher"])))
+
+
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = read_table(spark, sf_dir, "articles")
+    return names.entity_sizes(names.resolve_names(names.occurrences(articles, ["authors", "publisher"])))
+
+
+def _pieces_of(df: DataFrame, limit: dict) -> dict:
+    return {"max_size": limit["max_size"], "overlap": limit["overlap_size"], "unit": limit["unit"]}
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles, limit = read_table(spark, sf_dir, "articles"), size_limit(spark, sf_dir, "article_piece")
+    counts = pieces.count_pieces(articles, "id", "full_text", **_pieces_of(articles, limit))
+    return counts.filter("chunk_count > 1").select(F.col("item_id").alias("article_id")).distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every article, one delivery of each id."""
+    articles, limit = read_table(spark, sf_dir, "articles"), size_limit(spark, sf_dir, "article_piece")
+    once = articles.select("id", "full_text").dropDuplicates(["id"])
+    return pieces.split_pieces(once, "id", "full_text", **_pieces_of(articles, limit)).withColumnRenamed("item_id", "article_id")
+
+
+def p4_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles whose stored chunk_count isn't the number of pieces."""
+    articles, limit = read_table(spark, sf_dir, "articles"), size_limit(spark, sf_dir, "article_piece")
+    stored = articles.groupBy("id").agg(F.max_by("chunk_count", F.coalesce("updated_at", F.lit(0).cast("timestamp"))).alias("stored_count"))
+    counts = pieces.count_pieces(articles, "id", "full_text", **_pieces_of(articles, limit)).distinct().withColumnRenamed("item_id", "id")
+    return stored.join(counts, "id").filter(~F.col("stored_count").eqNullSafe(F.col("chunk_count"))).select(F.col("id").alias("article_id"), "stored_count", "chunk_count")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = read_table(spark, sf_dir, "articles")
+    pairs = neardup.near_duplicate_pairs(articles, "id", TEXT_COLUMNS, threshold=0.6, shingle=3, min_words=40)
+    return pairs.select(F.col("item_a").alias("article_id_a"), F.col("item_b").alias("article_id_b"))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = read_table(spark, sf_dir, "articles")
+    return neardup.near_duplicate_groups(articles, "id", TEXT_COLUMNS, threshold=0.6, shingle=3, min_words=40).withColumnRenamed("item_id", "article_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p4_found, p4_pieces, p4_chunk_counts, p6_found, p6_groups)}
+
+#: Splitting, linking and hashing aren't expressible in SQL, but what p4_found must return is.
+ORACLES = {
+    "p4_found": "SELECT DISTINCT id AS article_id FROM articles WHERE length(full_text) > (SELECT max_size FROM size_limits WHERE limit_name = 'article_piece')",
+}
