@@ -123,8 +123,10 @@ def _probe(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
         out = set()
         for r in batch["key"]:
             for length in range(max(1, len(r) - k), len(r) + 1):
+                longer = len(r) - length
                 for i, (a, n) in enumerate(segments(length, k)):
-                    for at in range(max(0, a - k), min(len(r) - n, a + k) + 1):
+                    # at most i edits lie before segment i and k - i after it, for the first segment that is unedited
+                    for at in range(max(0, a - i, a + longer - (k - i)), min(len(r) - n, a + i, a + longer + (k - i)) + 1):
                         out.add((f"{length}.{i}.{r[at : at + n]}", r))
         yield pd.DataFrame(list(out), columns=["probe", "probing"])
 
@@ -280,7 +282,7 @@ def resolve_names(names: DataFrame, *, name_col: str = "name") -> DataFrame:
     full = people.filter(F.length("first") > 1).select("family", "first", "middle")
     known = full.select("family", "first").distinct()
     # a nickname or misspelt given name stands for a name that is attested with the family name, if only one is
-    meant = _one(known.join(F.broadcast(other) if _small(other) else other, "first").join(known.select("family", F.col("first").alias("meant")), ["family", "meant"]), ["family", "first"], "meant")
+    meant = _one(known.join(other, "first").join(known.select("family", F.col("first").alias("meant")), ["family", "meant"]), ["family", "first"], "meant")
     # where none is attested, a nickname stands for its own full name, so that the nickname's forms meet
     people = people.join(meant, ["family", "first"], "left").withColumn("first", F.coalesce("meant", "first")).drop("meant")
     people = cut(people, "people")
@@ -302,10 +304,6 @@ def resolve_names(names: DataFrame, *, name_col: str = "name") -> DataFrame:
     return org_names.unionByName(full.select("name", "entity")).unionByName(met).unionByName(alone)
 
 
-def _small(df: DataFrame, most: int = 200_000) -> bool:
-    return df.limit(most + 1).count() <= most
-
-
 def variant_pairs(resolved: DataFrame) -> DataFrame:
     """(name_a < name_b) of all strings of one entity, of the rows (name, entity) of resolve_names."""
     left = resolved.select("entity", F.col("name").alias("name_a"))
