@@ -1,0 +1,36 @@
+"""Queries of the operators for language-model text."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumbung.llm import encoding, scans
+from lumbung.sources.tables import read_dimension, read_table
+
+
+def _heads(spark: SparkSession, sf_dir: str) -> list[str]:
+    return [r["name"] for r in read_dimension(spark, sf_dir, "sources") if r["name"]]
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scans.scan_damage(read_table(spark, sf_dir, "articles"), "id", "title", "full_text", heads=_heads(spark, sf_dir))
+    return found.withColumnRenamed("item_id", "article_id")
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The body of every article as continuous paragraphs."""
+    return scans.repair_scans(read_table(spark, sf_dir, "articles"), "id", "title", "full_text", heads=_heads(spark, sf_dir)).withColumnRenamed("item_id", "article_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.find_garbled(read_table(spark, sf_dir, "documents"), "doc_id", "text", "source").select(F.col("item_id").alias("doc_id"))
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every document as it was written, where that can be known."""
+    return encoding.restore(read_table(spark, sf_dir, "documents"), "doc_id", "text", "source").withColumnRenamed("item_id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p9_found, p9_restored)}
+ORACLES: dict[str, str] = {}
