@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbung.llm import encoding, scans
+from lumbung.llm import encoding, langid, scans
 from lumbung.sources.tables import read_dimension, read_table
 
 
@@ -23,6 +23,26 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repair_scans(read_table(spark, sf_dir, "articles"), "id", "title", "full_text", heads=_heads(spark, sf_dir)).withColumnRenamed("item_id", "article_id")
 
 
+def _language_model(articles: DataFrame) -> langid.LanguageModel:
+    return langid.fit_language_model(articles, "id", "full_text", "language")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = read_table(spark, sf_dir, "articles")
+    return langid.language_errors(articles, "id", "full_text", "language", _language_model(articles)).withColumnRenamed("item_id", "article_id")
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of every body, with its language and confidence."""
+    articles = read_table(spark, sf_dir, "articles")
+    return langid.label_segments(articles, "id", "full_text", _language_model(articles)).distinct().withColumnRenamed("item_id", "article_id")
+
+
+def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every body."""
+    return langid.label_texts(p3_segments(spark, sf_dir).withColumnRenamed("article_id", "item_id")).withColumnRenamed("item_id", "article_id")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.find_garbled(read_table(spark, sf_dir, "documents"), "doc_id", "text", "source").select(F.col("item_id").alias("doc_id"))
 
@@ -32,5 +52,5 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restore(read_table(spark, sf_dir, "documents"), "doc_id", "text", "source").withColumnRenamed("item_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_segments, p3_languages, p9_found, p9_restored)}
 ORACLES: dict[str, str] = {}
