@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbung.llm import encoding, langid, scans
+from lumbung.llm import encoding, langid, scans, topics
 from lumbung.sources.tables import read_dimension, read_table
 
 
@@ -43,6 +43,22 @@ def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.label_texts(p3_segments(spark, sf_dir).withColumnRenamed("article_id", "item_id")).withColumnRenamed("item_id", "article_id")
 
 
+def _topic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = read_table(spark, sf_dir, "articles")
+    known = [r.asDict() for r in read_dimension(spark, sf_dir, "topics")]
+    model = topics.fit_topics(articles, "id", "title", "abstract", "source_slug", "doc_type", "topic", known)
+    return topics.label_topics(articles, "id", "title", "abstract", "source_slug", "doc_type", model)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topic_labels(spark, sf_dir).select(F.col("item_id").alias("article_id"), "topic_slug").distinct()
+
+
+def p5_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many articles each subject has."""
+    return topics.topic_composition(_topic_labels(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.find_garbled(read_table(spark, sf_dir, "documents"), "doc_id", "text", "source").select(F.col("item_id").alias("doc_id"))
 
@@ -52,5 +68,5 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restore(read_table(spark, sf_dir, "documents"), "doc_id", "text", "source").withColumnRenamed("item_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_segments, p3_languages, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_segments, p3_languages, p5_found, p5_composition, p9_found, p9_restored)}
 ORACLES: dict[str, str] = {}
