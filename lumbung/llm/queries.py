@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbung.llm import encoding, langid, scans, topics
+from lumbung.llm import encoding, langid, mixing, packing, scans, topics
+from lumbung.plans.corpus import size_limit
 from lumbung.sources.tables import read_dimension, read_table
 
 
@@ -59,6 +60,30 @@ def p5_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.topic_composition(_topic_labels(spark, sf_dir))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of the packed size."""
+    limit = size_limit(spark, sf_dir, "packed_sequence")
+    return packing.pack_sequences(read_table(spark, sf_dir, "documents"), "doc_id", "text", capacity=limit["max_size"]).withColumnRenamed("item_id", "doc_id")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(p7_packed(spark, sf_dir), size_limit(spark, sf_dir, "packed_sequence")["max_size"])
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    targets = [r.asDict() for r in read_dimension(spark, sf_dir, "mix_targets")]
+    return mixing.mix_sources(read_table(spark, sf_dir, "documents"), "doc_id", "text", "source", targets)
+
+
+def p8_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collection in which each source has its target share of the tokens."""
+    return _mix(spark, sf_dir)[0].withColumnRenamed("item_id", "doc_id")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.find_garbled(read_table(spark, sf_dir, "documents"), "doc_id", "text", "source").select(F.col("item_id").alias("doc_id"))
 
@@ -68,5 +93,5 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restore(read_table(spark, sf_dir, "documents"), "doc_id", "text", "source").withColumnRenamed("item_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_segments, p3_languages, p5_found, p5_composition, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_segments, p3_languages, p5_found, p5_composition, p7_packed, p7_report, p8_collection, p8_report, p9_found, p9_restored)}
 ORACLES: dict[str, str] = {}
