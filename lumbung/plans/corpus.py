@@ -66,5 +66,11 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p4_found, p4_pieces, p
 
 #: Splitting, linking and hashing aren't expressible in SQL, but what p4_found must return is.
 ORACLES = {
+    "p6_found": r"""WITH t AS (SELECT id, any_value(concat_ws(' ', title, abstract, full_text)) AS x FROM articles GROUP BY id),
+w AS (SELECT id, regexp_extract_all(lower(x), '[\p{L}\p{N}]+') AS w FROM t),
+s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 40)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS ia, b.id AS ib, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+SELECT ia AS article_id_a, ib AS article_id_b FROM p JOIN n x ON x.id = ia JOIN n y ON y.id = ib WHERE c >= 0.6 * (x.n + y.n - c)""",
     "p4_found": "SELECT DISTINCT id AS article_id FROM articles WHERE length(full_text) > (SELECT max_size FROM size_limits WHERE limit_name = 'article_piece')",
 }

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: set[str] = set()
 
 
 def get_spark(app: str = "lumbung", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -45,10 +46,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder. In local mode it goes when Python ends; on a cluster, call
+    :func:`release` when the results are written."""
+    path = f"{shared_dir(spark)}/lumbung/{spark.sparkContext.applicationId}"
+    if path not in _made:
+        _made.add(path)
+        if spark.sparkContext.master.startswith("local"):
+            atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this application wrote to the shared folder; results that weren't written yet can't be read then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes ``df`` as a table to the shared folder and reads it back, so that later steps neither recompute it nor
     depend on the executor that made it. Compressed columnar files take less room than checkpoint() would."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumbung/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -15,7 +15,8 @@ LATENESS = "2 days"
 
 
 def stream_table(spark: SparkSession, path: str, schema: T.StructType, time: str) -> DataFrame:
-    """A folder of parquet files as a stream whose ``time`` is a zoned timestamp; zone-less ones are taken as UTC."""
+    """Parquet files of a folder or a pattern as a stream whose ``time`` is a zoned timestamp; zone-less ones are taken as
+    UTC. A single file must be given by a pattern, such as its name with ``*``."""
     return spark.readStream.schema(schema).parquet(path).withColumn(time, F.col(time).cast("timestamp"))
 
 
