@@ -10,7 +10,7 @@ _REFERENCES = r"(?im)^[ \t]*(?:\d+\.?[ \t]*)?(?:references|bibliography|daftar[
 
 
 def _edges(page: Column) -> Column:
-    lines = F.filter(F.transform(F.split(page, "\n"), F.trim), lambda x: F.length(x) > 0)
+    lines = F.filter(F.transform(F.split(page, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     ends = F.concat(F.slice(lines, 1, EDGE_LINES), F.slice(lines, F.greatest(F.size(lines) - EDGE_LINES + 1, F.lit(1)), EDGE_LINES))
     return F.array_distinct(F.filter(ends, lambda x: F.length(x) < EDGE_LENGTH))
 
@@ -37,7 +37,7 @@ def without_references(text: Column) -> Column:
     tail = F.element_at(parts, -1)
     heading = F.element_at(F.regexp_extract_all(text, F.lit(f"({_REFERENCES})"), 1), -1)
     at = F.length(text) - F.length(tail) - F.length(heading)
-    return F.when((F.size(parts) > 1) & (at >= F.length(text) * REFERENCES_FROM), F.rtrim(F.substring(text, F.lit(1), at))).otherwise(text)
+    return F.when((F.size(parts) > 1) & (at >= F.length(text) * REFERENCES_FROM), F.regexp_replace(F.substring(text, F.lit(1), at), r"\s+$", "")).otherwise(text)
 
 
 def quality(text: Column) -> Column:

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 #: Strongest first: after a blank line, after a sentence, after a line, after a blank.
 BOUNDARIES = (re.compile(r"\n[^\S\n]*\n\s*"), re.compile(r"[.!?…][\"'”’»)\]]*\s+"), re.compile(r"\n\s*"), re.compile(r"\s+"))
-_TOKEN = re.compile(r"\s*\S+|\s+$")
+_TOKEN = re.compile(r"\s*\S+\s*")
 _MARKS = re.compile(r"[̀-ͯ‍️]")
 
 PIECE_SCHEMA = "piece_index int, char_start int, char_end int, piece_text string, piece_size int, chunk_count int"
 
 
 def token_starts(text: str) -> list[int]:
-    """Prefix sums of the lengths of the tokens, each with the blanks before it: where every token begins, and the end."""
+    """Prefix sums of the lengths of the tokens, each with the blanks after it: where every token begins, and the end."""
     offsets, at = [0], 0
     for m in _TOKEN.finditer(text):
         at = m.end()
