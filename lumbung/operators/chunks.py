@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumbung.functions.rows import map_keyed
+
 TARGET, OVERLAP, LEAST, MOST = 450, 80, 24, 512
 # Abbreviations after which a full stop ends no sentence, and section headings.
 ABBREVIATIONS = frozenset("fig figs tab no vol eq ref refs etc al dr prof mr mrs ms sr jr vs hlm dkk approx est i.e e.g cf pp ed eds inc ltd co st".split())
@@ -106,16 +108,14 @@ def chunk_text(text: str | None, target: int = TARGET, overlap: int = OVERLAP) -
 
 def chunk_documents(df: DataFrame, id_col: str, text_cols: list[str], *, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
     """(item_id, CHUNKS) of each row's first non-empty text column. A map over the rows; null and empty texts have none."""
-    kind = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(*(F.when(F.trim(c) != "", F.col(c)) for c in text_cols))
-    slim = df.select(F.col(id_col).alias("item_id"), text.alias("text"))
     names = ["item_id", *(c.split()[0] for c in CHUNKS.split(", "))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame([(k, i, *c) for k, t in zip(b["item_id"], b["text"]) for i, c in enumerate(chunk_text(t, target, overlap))], columns=names)
 
-    return slim.mapInPandas(run, f"item_id {kind}, {CHUNKS}")
+    return map_keyed(df, id_col, {"text": text}, run, CHUNKS)
 
 
 def pending_chunks(articles: DataFrame, chunks: DataFrame, hash_col: str = "content_hash") -> DataFrame:

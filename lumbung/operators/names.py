@@ -47,7 +47,7 @@ LINK_WORDS = frozenset("for of the and dan untuk dari on in di van voor de des d
 
 # Short and pet forms of given names.
 NICKNAMES = {
-    "abd": "abdul", "dul": "abdul", "agus": "agustinus", "alex": "alexander", "xander": "alexander", "sandy": "alexander", "tony": "anthony", "ton": "anthony", "ant": "anthony",
+    "abd": "abdul", "dul": "abdul", "agus": "agustinus", "alex": "alexander", "xander": "alexander", "sandy": "alexander", "sasha": "alexander", "tony": "anthony", "ton": "anthony", "ant": "anthony",
     "ben": "benjamin", "benny": "benjamin", "benji": "benjamin", "chris": "christopher", "kit": "christopher", "topher": "christopher",
     "beth": "elizabeth", "liz": "elizabeth", "lizzy": "elizabeth", "eliza": "elizabeth", "betty": "elizabeth", "lisa": "elizabeth", "ella": "elizabeth",
     "ida": "farida", "rida": "farida", "frans": "fransiska", "siska": "fransiska", "fred": "frederik", "frits": "frederik", "freek": "frederik", "rik": "frederik",
@@ -60,7 +60,7 @@ NICKNAMES = {
     "nico": "nicolaas", "nick": "nicolaas", "klaas": "nicolaas", "niek": "nicolaas", "claas": "nicolaas", "nur": "nurhayati", "yati": "nurhayati", "hayati": "nurhayati", "okta": "oktavia", "via": "oktavia",
     "pat": "patricia", "patty": "patricia", "tricia": "patricia", "trish": "patricia", "rahma": "rahmawati", "wati": "rahmawati", "ren": "renee",
     "rick": "richard", "dick": "richard", "rich": "richard", "richie": "richard", "bob": "robert", "rob": "robert", "bobby": "robert", "bert": "robert", "robbie": "robert",
-    "sam": "samantha", "sammy": "samantha", "mantha": "samantha", "steph": "stephanie", "steffi": "stephanie", "fanny": "stephanie", "sue": "susanna", "susie": "susanna", "susan": "susanna", "sanna": "susanna", "suzy": "susanna",
+    "sam": "samantha", "sammy": "samantha", "mantha": "samantha", "steph": "stephanie", "steffi": "stephanie", "fanny": "stephanie", "sue": "susanna", "susie": "susanna", "susan": "susanna", "sanna": "susanna", "sanne": "susanna", "suzy": "susanna",
     "ted": "theodore", "theo": "theodore", "teddy": "theodore", "val": "valentina", "tinka": "valentina", "bill": "william", "will": "william", "billy": "william", "liam": "william", "wim": "william", "willy": "william",
     "mina": "wilhelmina", "wil": "wilhelmina", "willa": "wilhelmina", "minna": "wilhelmina", "helma": "wilhelmina", "yus": "yusuf", "ucup": "yusuf", "yusup": "yusuf", "yvon": "yvonne", "evonne": "yvonne",
     "zain": "zainal", "inal": "zainal", "lusia": "lucja", "lucia": "lucja", "quen": "quentin", "put": "putri",
@@ -151,6 +151,10 @@ def segment_join(keys: DataFrame, key: str = "key", *, edits: int = 1) -> DataFr
     return met.mapInPandas(lambda it: _verify(it, edits), "key_a string, key_b string, distance int")
 
 
+def _degree(word: str) -> bool:
+    return fold(word.replace(".", "")) in DEGREES
+
+
 def parse_name(name: str) -> tuple[str, str, str, str, str, str, str]:
     """(kind, family, first, middle, squeezed, bag, acronym) of a name; kind is person, org or none.
 
@@ -161,15 +165,14 @@ def parse_name(name: str) -> tuple[str, str, str, str, str, str, str]:
     """
     inside = [fold(m) for m in re.findall(r"\(([^()]*)\)", name)]
     plain = re.sub(r"\([^()]*\)", " ", name)
-    plain = re.sub(r"(?<=\b[A-Za-z])\.\s*(?=[A-Za-z]\.)", ". ", plain)  # A.B. -> A. B.
-    glued = re.sub(r"\b((?:[A-Za-z]{1,4}\.){1,3}[A-Za-z]{0,4})(?=$|[\s,])", lambda m: m[0].replace(".", "") if fold(m[0].replace(".", "")) in DEGREES else m[0], re.sub(r"\.\s+(?=[A-Z]\.)", ".", plain))
-    # degrees stand after commas or at the end, titles at the start
-    parts = [_TOKEN.findall(p) for p in glued.split(",")]
-    parts = [[t for t in p] for p in parts if p]
-    parts = [p for n, p in enumerate(parts) if not (n and all(fold(t) in DEGREES for t in p))]
-    if parts and len(parts[-1]) > 2:
-        while len(parts[-1]) > 2 and fold(parts[-1][-1]) in DEGREES and len(parts[-1][-1]) > 1:
-            parts[-1].pop()
+    # titles stand at the start; degrees after a comma or at the end, but only behind a whole name: "Family, J.R." has initials
+    parts = [re.findall(r"[^\s,]+", p) for p in plain.split(",")]
+    parts = [p for p in parts if any(c.isalnum() for t in p for c in t)]
+    while len(parts) > 1 and len(parts[0]) > 1 and all(_degree(t) for t in parts[-1]):
+        parts.pop()
+    while parts and len(parts[-1]) > 2 and _degree(parts[-1][-1]) and len(parts[-1][-1]) > 2:
+        parts[-1].pop()
+    parts = [[t for w in p for t in _TOKEN.findall(w)] for p in parts]
     if parts and len(parts[0]) > 1:
         while len(parts[0]) > 1 and fold(parts[0][0]) in TITLES and (len(parts[0][0]) > 1 or len(parts[0]) > 3):
             parts[0].pop(0)
@@ -283,8 +286,9 @@ def resolve_names(names: DataFrame, *, name_col: str = "name") -> DataFrame:
     known = full.select("family", "first").distinct()
     # a nickname or misspelt given name stands for a name that is attested with the family name, if only one is
     meant = _one(known.join(other, "first").join(known.select("family", F.col("first").alias("meant")), ["family", "meant"]), ["family", "first"], "meant")
-    # where none is attested, a nickname stands for its own full name, so that the nickname's forms meet
-    people = people.join(meant, ["family", "first"], "left").withColumn("first", F.coalesce("meant", "first")).drop("meant")
+    # where none is attested, a nickname stands for its own full name, so that the nicknames of one name meet
+    people = people.join(meant, ["family", "first"], "left").join(nick.withColumnRenamed("meant", "long"), "first", "left")
+    people = people.withColumn("first", F.coalesce("meant", "long", "first")).drop("meant", "long")
     people = cut(people, "people")
 
     full = people.filter(F.length("first") > 1)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumbung.functions.rows import map_keyed
+
 #: Strongest first: after a blank line, after a sentence, after a line, after a blank.
 BOUNDARIES = (re.compile(r"\n[^\S\n]*\n\s*"), re.compile(r"[.!?…][\"'”’»)\]]*\s+"), re.compile(r"\n\s*"), re.compile(r"\s+"))
 _TOKEN = re.compile(r"\s*\S+\s*")
@@ -95,13 +97,9 @@ def split_pieces(df: DataFrame, id_col: str, text_col: str, *, max_size: int, ov
     Other columns are ignored, so clashing names don't matter. A null or empty text has no piece, a null id stays null,
     repeated rows give repeated pieces, and an empty table gives an empty one.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    slim = df.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(lambda it: _rows(it, max_size, overlap, unit, True), f"item_id {kind}, {PIECE_SCHEMA}")
+    return map_keyed(df, id_col, {"text": F.col(text_col)}, lambda it: _rows(it, max_size, overlap, unit, True), PIECE_SCHEMA)
 
 
 def count_pieces(df: DataFrame, id_col: str, text_col: str, *, max_size: int, overlap: int, unit: str = "characters") -> DataFrame:
     """(item_id, chunk_count) of each row: how many pieces :func:`split_pieces` makes. Null or empty texts count 0."""
-    kind = df.schema[id_col].dataType.simpleString()
-    slim = df.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(lambda it: _rows(it, max_size, overlap, unit, False), f"item_id {kind}, chunk_count int")
+    return map_keyed(df, id_col, {"text": F.col(text_col)}, lambda it: _rows(it, max_size, overlap, unit, False), "chunk_count int")
