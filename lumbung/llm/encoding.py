@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumbung.functions.rows import map_keyed
 from lumbung.session import cut
 
 # Single-byte code pages that UTF-8 is often read in, and pages of which one is read for another.
@@ -283,9 +284,7 @@ def garbled_words(df: DataFrame, id_col: str, text_col: str, source_col: str, ro
     """(item_id, token, decoded), distinct: the garbled words of each text, and what they were; where that is lost,
     ``decoded`` still holds U+FFFD. A word is garbled if a swap is likelier than none, given its source, or if the words
     of its text that would be likelier by the same swap outweigh TEXT_ODDS together."""
-    slim = df.select(F.col(id_col).alias("item_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    kind_of = df.schema[id_col].dataType.simpleString()
-    words = cut(slim.mapInPandas(_words, f"item_id {kind_of}, source string, token string"), "words")
+    words = cut(map_keyed(df, id_col, {"source": F.col(source_col).cast("string"), "text": F.col(text_col)}, _words, "source string, token string", drop_null=True), "words")
     tokens = words.groupBy("source", "token").agg(F.count("*").alias("n"))
     tokens = cut(tokens.mapInPandas(_options, "source string, token string, n bigint, words array<string>, swaps array<string>"), "tokens")
     open_ = tokens.filter((F.size("words") > 1) | F.col("token").contains(LOST))
@@ -324,12 +323,11 @@ def find_garbled(df: DataFrame, id_col: str, text_col: str, source_col: str) ->
 
 
 def restore(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(item_id, restored_text, garbled, lost) of each distinct id: garbled words are put right, all else is left as it
+    """(item_id, restored_text, garbled, lost) of each distinct non-null id: garbled words are put right, all else is left as it
     was; ``lost`` where a character can't be known any more. Null texts stay null. See find_garbled."""
     found = garbled_words(df, id_col, text_col, source_col).groupBy("item_id", "token").agg(F.min("decoded").alias("decoded"))
     maps = found.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "decoded"))).alias("map"))  # bounded by one text
-    kind_of = df.schema[id_col].dataType.simpleString()
-    slim = df.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).dropDuplicates(["item_id"])
+    slim = df.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).filter("item_id is not null").dropDuplicates(["item_id"]).join(maps, "item_id", "left")
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -340,4 +338,4 @@ def restore(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
                 out.append((key, new, bool(table), bool(table) and LOST in (new or "")))
             yield pd.DataFrame(out, columns=["item_id", "restored_text", "garbled", "lost"])
 
-    return slim.join(maps, "item_id", "left").mapInPandas(apply, f"item_id {kind_of}, restored_text string, garbled boolean, lost boolean")
+    return map_keyed(slim, "item_id", {"text": F.col("text"), "map": F.col("map")}, apply, "restored_text string, garbled boolean, lost boolean")

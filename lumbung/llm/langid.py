@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumbung.functions.rows import map_keyed
 from lumbung.llm.ftrl import Ftrl, softmax, temperature
 from lumbung.operators.sampling import stratified_hash_sample
 
@@ -50,7 +51,7 @@ _STOP = re.compile(r"(?<=[.!?…])[\"”’»)\]]*\s+(?=[\"“‘«(\[]*[^\W_])|
 WINDOW = 16
 #: Sentences of fewer words have no language of their own; they go with their neighbours.
 LEAST_WORDS = 4
-_SWITCH = math.log(0.02)
+_SWITCH = math.log(0.1)
 
 
 def language_code(name: str | None) -> str | None:
@@ -164,7 +165,7 @@ class _Trainer:
 
     def fit(self, picked: list[int], epochs: int, seed: int = 7) -> tuple[np.ndarray, float]:
         """(weights, temperature); a tenth of the picked samples is held out for the temperature."""
-        ftrl = Ftrl(len(self.grams) + 1, len(LANGUAGES), alpha=1.5, l1=0.01, l2=0.01)
+        ftrl = Ftrl(len(self.grams) + 1, len(LANGUAGES), alpha=1.0, l1=0.01, l2=0.01)
         eye, rng = np.eye(len(LANGUAGES)), np.random.default_rng(seed)
         held, fit = picked[::10], [i for k, i in enumerate(picked) if k % 10]
         for _ in range(epochs):
@@ -182,18 +183,23 @@ class _Trainer:
         return LanguageModel({g: i for i, g in enumerate(self.grams)}, w[1:] * self.idf[1:, None], self.idf[1:], w[0], factor)
 
 
+#: A label of less probability than this is contradicted by its sentence.
+CONTRADICTED = 0.2
+
+
 def train(samples: list[tuple[list[str], int]], *, cleanings: int = 2) -> LanguageModel:
     """Fits the model on (words, language index) of sentences. Labels may be wrong: after each of ``cleanings`` first
     fits, the sentences that contradict theirs are left out of the next fit."""
     trainer = _Trainer(samples)
+    labels = np.array([y for _, y in samples])
     everything = list(range(len(samples)))
     picked = everything
     for _ in range(cleanings):
-        w, _ = trainer.fit(picked, 1)
-        best = trainer.logits(w, everything).argmax(axis=1)
-        agreed = [i for i in everything if best[i] == samples[i][1]]
-        if len({samples[i][1] for i in agreed}) == len({y for _, y in samples}):
-            picked = agreed
+        w, factor = trainer.fit(picked, 2)
+        own = softmax(trainer.logits(w, everything) * factor)[everything, labels]
+        # a class that would lose most of its sentences isn't known well enough yet to be cleaned
+        bad = {y: np.mean(own[labels == y] < CONTRADICTED) for y in set(labels.tolist())}
+        picked = [i for i in everything if own[i] >= CONTRADICTED or bad[int(labels[i])] > 0.6]
     return trainer.model(*trainer.fit(picked, 3))
 
 
@@ -227,12 +233,12 @@ def _paths(logp: np.ndarray) -> list[int]:
     return path[::-1]
 
 
-_SEGMENTS = "item_id {}, segment_index int, char_start int, char_end int, sentences int, text_language string, confidence double"
+_SEGMENTS = "segment_index int, char_start int, char_end int, sentences int, text_language string, confidence double"
 
 
 def _segments(batches: Iterator[pd.DataFrame], model: LanguageModel) -> Iterator[pd.DataFrame]:
     score = Scorer(model)
-    names = [c.split()[0] for c in _SEGMENTS.split(", ")]
+    names = ["item_id", *(c.split()[0] for c in _SEGMENTS.split(", "))]
     for batch in batches:
         for lo in range(0, len(batch), 500):
             part = batch.iloc[lo : lo + 500]
@@ -270,9 +276,7 @@ def label_segments(df: DataFrame, id_col: str, text_col: str, model: LanguageMod
     A null id, and a text that is null, empty or without letters, has no stretch; repeated rows give equal rows; very long
     texts are one row's work; an empty table gives an empty one; other columns are ignored.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    slim = df.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(lambda it: _segments(it, model), _SEGMENTS.format(kind))
+    return map_keyed(df, id_col, {"text": F.col(text_col)}, lambda it: _segments(it, model), _SEGMENTS, drop_null=True)
 
 
 def label_texts(segments: DataFrame) -> DataFrame:

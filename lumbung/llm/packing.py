@@ -87,7 +87,7 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
         parts = min(len(sizes), parts + max(1, math.ceil(over / capacity)))
 
 
-_PACKED = "item_id {}, part_index int, token_start bigint, token_end bigint, tokens bigint, sequence_id string"
+_PACKED = "item_id string, part_index int, token_start bigint, token_end bigint, tokens bigint, sequence_id string"
 
 
 def pack_sequences(df: DataFrame, id_col: str, text_col: str, *, capacity: int, shard_items: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -119,7 +119,7 @@ def pack_sequences(df: DataFrame, id_col: str, text_col: str, *, capacity: int,
         part = pack(items["tokens"].tolist(), capacity)
         return items.drop(columns="shard").assign(sequence_id=[f"s{key[0]}-{p}" for p in part])
 
-    packed = rest.groupBy("shard").applyInPandas(fill, _PACKED.format(kind))
+    packed = rest.withColumn("item_id", F.col("item_id").cast("string")).groupBy("shard").applyInPandas(fill, _PACKED).withColumn("item_id", F.col("item_id").cast(kind))
     return packed.unionByName(alone.select("item_id", "part_index", "token_start", "token_end", "tokens", "sequence_id"))
 
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumbung.functions.rows import map_keyed
+
 #: A file of ranks in the usual form: a base64 token and its rank on each line. Every executor must have it there.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how that vocabulary's texts were cut into words.
@@ -29,7 +31,6 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str, keep: list[str] | No
     """(item_id, tokens, and the columns of ``keep``) of each row. A null text counts 0. Special tokens' strings in a
     text are ordinary text. A map over the rows: no shuffle."""
     keep = keep or []
-    slim = df.select(F.col(id_col).alias("item_id"), *keep, F.col(text_col).alias("text__"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = encoder(vocabulary)
@@ -37,5 +38,5 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str, keep: list[str] | No
             sizes = [len(code.encode_ordinary(t)) if t else 0 for t in b["text__"]]
             yield b.drop(columns="text__").assign(tokens=sizes)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "text__")
-    return slim.mapInPandas(run, f"{kinds}, tokens bigint")
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+    return map_keyed(df, id_col, {**{c: F.col(c) for c in keep}, "text__": F.col(text_col)}, run, f"{kinds}tokens bigint")

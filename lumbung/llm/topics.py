@@ -32,17 +32,18 @@ _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 BEAM = 6
 
 
-def sentence_words(title: str | None, abstract: str | None) -> list[list[str]]:
-    """Words in lower case of the title and of the abstract's sentences, without the names in the abstract (capitals
-    within a sentence that isn't all capitals)."""
-    out = [_WORD.findall(title.lower())] if title else []
+def sentence_parts(title: str | None, abstract: str | None) -> list[tuple[str, list[str]]]:
+    """(text, words in lower case) of the title and of the abstract's sentences, without the names in the abstract
+    (capitals within a sentence that isn't all capitals)."""
+    out = [(title, _WORD.findall(title.lower()))] if title else []
     for s in _SENTENCE.split(abstract) if abstract else ():
-        words = _WORD.findall(s)
-        if not words:
-            continue
         shouted = s.isupper()
-        out.append([w.lower() for i, w in enumerate(words) if i == 0 or shouted or not w[0].isupper()])
-    return [w for w in out if w]
+        out.append((s, [w.lower() for i, w in enumerate(_WORD.findall(s)) if i == 0 or shouted or not w[0].isupper()]))
+    return [x for x in out if x[1]]
+
+
+def sentence_words(title: str | None, abstract: str | None) -> list[list[str]]:
+    return [w for _, w in sentence_parts(title, abstract)]
 
 
 def term_grams(words: list[str]) -> set[str]:
@@ -105,13 +106,13 @@ def _features(terms: set[str], topical: dict[str, int], title: str | None, abstr
     return [*(f"t:{g}" for g in terms), *(f"e:{topical[g]}" for g in terms if g in topical), f"s:{source}", f"d:{kind}", f"n:{length}", f"h:{bool(title)}"]
 
 
-def _passing_model(rows: list[tuple[list[list[str]], int]], topical: dict[str, int]) -> tuple[dict[str, int], np.ndarray, float, float]:
+def _passing_model(rows: list[tuple[list[tuple[str, list[str]]], int]], topical: dict[str, int]) -> tuple[dict[str, int], np.ndarray, float, float]:
     """Logistic model of frames: does a sentence's subject agree with the document's label? Returns index, weights, bias
     and the probability under which a sentence is in passing: half of what is usual."""
     samples = []
     df: Counter = Counter()
     for sents, label in rows:
-        for words in sents:
+        for _, words in sents:
             votes = Counter(topical[g] for g in term_grams(words) if g in topical)
             if votes:
                 frame = frame_grams(words, topical)
@@ -134,17 +135,17 @@ def _passing_model(rows: list[tuple[list[list[str]], int]], topical: dict[str, i
     return index, d, float(d[0]), 0.5 * usual
 
 
-def _topical(rows: list[tuple[list[list[str]], int]], topics: int, purity: float, surprise: float = 6.5) -> dict[str, int]:
+def _topical(rows: list[tuple[list[tuple[str, list[str]]], int]], topics: int, purity: float, surprise: float = 6.5) -> dict[str, int]:
     """N-grams that go with one subject: ``purity`` of the distinct sentences that have one stand under that label, more
     than the subject's share by ``surprise`` standard deviations. Sentences that copies repeat count once."""
     counts: dict[str, Counter] = defaultdict(Counter)
-    seen: set[tuple[str, ...]] = set()
+    seen: set[str] = set()
     share: Counter = Counter()
     for sents, label in rows:
-        for words in sents:
-            if tuple(words) in seen:
+        for said, words in sents:
+            if said in seen:
                 continue
-            seen.add(tuple(words))
+            seen.add(said)
             share[label] += 1
             for g in term_grams(words):
                 counts[g][label] += 1
@@ -179,14 +180,14 @@ def fit_topics(df: DataFrame, id_col: str, title_col: str, abstract_col: str, so
     order = [s for s, _ in Counter(r["l"] for r in docs).most_common()]
     order += [s for s in slugs if s not in order]
     number = {s: i for i, s in enumerate(order)}
-    rows = [(sentence_words(r["t"], r["a"]), number[r["l"]]) for r in docs]
+    rows = [(sentence_parts(r["t"], r["a"]), number[r["l"]]) for r in docs]
 
     stated = {" ".join(_WORD.findall(k.lower())): number[t["slug"]] for t in topics for k in t["keywords"] or ()}
     topical = _topical(rows, len(order), purity=0.4) | stated
     passing = _passing_model(rows, topical)
     model = TopicModel(order, topical, *passing, {}, np.zeros((0, 0)), np.zeros((0, 0)), np.ones(len(order)))
     # once more without the sentences in passing
-    clean = [([w for w in sents if not (any(g in topical for g in term_grams(w)) and model.in_passing(w))], y) for sents, y in rows]
+    clean = [([(x, w) for x, w in sents if not (any(g in topical for g in term_grams(w)) and model.in_passing(w))], y) for sents, y in rows]
     model.topical = _topical(clean, len(order), purity=0.45) | stated
     model.frame_index, model.frame_weights, model.frame_bias, model.passing = _passing_model(rows, model.topical)
 
