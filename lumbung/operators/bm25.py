@@ -47,7 +47,7 @@ def document_frequencies(index: Bm25Index, words: list[str] | None = None) -> Da
     """(term, df, idf) of all terms or of some."""
     postings = index.postings.filter(F.col("term").isin(words)) if words is not None else index.postings
     counts = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return counts.crossJoin(F.broadcast(corpus_stats(index).select("n"))).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))  # one row
+    return counts.select("term", "df", idf(corpus_stats(index).select("n").scalar(), F.col("df")).alias("idf"))
 
 
 def search(index: Bm25Index, words: list[str], limit: int | None = 60, allowed: DataFrame | None = None, *, k1: float = K1, b: float = B) -> DataFrame:
@@ -60,10 +60,10 @@ def search(index: Bm25Index, words: list[str], limit: int | None = 60, allowed:
     weights = document_frequencies(index, words or [])
     if allowed is not None:
         postings = postings.join(allowed.select("item_id"), "item_id", "left_semi")
-    stats = corpus_stats(index).select("avg_len")
+    mean = corpus_stats(index).select("avg_len").scalar()
     hits = postings.join(F.broadcast(weights), "term")  # one row a query term
-    hits = hits.join(index.lengths, "item_id").crossJoin(F.broadcast(stats))  # one row
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
+    hits = hits.join(index.lengths, "item_id")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / mean))
     out = hits.groupBy("item_id").agg(F.sum(part).alias("score")).filter("score > 0")
     return out.orderBy(F.desc("score"), "item_id").limit(limit) if limit else out
 
