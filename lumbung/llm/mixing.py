@@ -78,6 +78,6 @@ def mix_sources(df: DataFrame, id_col: str, text_col: str, source_col: str, targ
     got = collection.groupBy("source").agg(F.sum("tokens").alias("reached_tokens"), F.count_distinct("item_id").alias("texts"), F.count("*").alias("uses"))
     base = spark.createDataFrame([(b["source"], b["target_share"], b["max_repeats"], int(b["available_tokens"]), int(b["budget_tokens"])) for b in budgets], "source string, target_share double, max_repeats int, available_tokens bigint, budget_tokens bigint")
     report = base.join(got, "source", "left").fillna(0, ["reached_tokens", "texts", "uses"])
-    total = report.agg(F.greatest(F.sum("reached_tokens"), F.lit(1)).alias("total"))
-    report = report.crossJoin(F.broadcast(total)).select("source", "target_share", "max_repeats", "available_tokens", "budget_tokens", "reached_tokens", F.round(F.col("reached_tokens") / F.col("total"), 6).alias("reached_share"), "texts", "uses")
+    total = report.agg(F.greatest(F.sum("reached_tokens"), F.lit(1)).alias("total")).scalar()
+    report = report.select("source", "target_share", "max_repeats", "available_tokens", "budget_tokens", "reached_tokens", F.round(F.col("reached_tokens") / total, 6).alias("reached_share"), "texts", "uses")
     return collection, report
