@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumbung.functions.lexer import terms
+from lumbung.session import cut
 
 K1, B = 1.2, 0.75
 
@@ -22,15 +23,15 @@ class Bm25Index:
 
 def build_index(df: DataFrame, id_col: str, text_col: str, *, lexer=terms, raw_tf: bool = False) -> Bm25Index:
     """The index of a table's texts. Terms are distinct in a document, so tf is 1, unless ``raw_tf`` counts repeats.
-    Documents without a term aren't in the index."""
-    words = lexer(F.col(text_col))
-    slim = df.select(F.col(id_col).alias("item_id"), words.alias("terms"), F.col(text_col).alias("text"))
+    Documents without a term aren't in the index. The terms are made once and written to the shared folder; lengths,
+    frequencies and postings are read from there."""
+    slim = cut(df.select(F.col(id_col).alias("item_id"), lexer(F.col(text_col)).alias("terms"), *([F.col(text_col).alias("text")] if raw_tf else [])).withColumn("doc_len", F.size("terms")), "terms")
     if raw_tf:
         counted = slim.select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)).alias("term"), "terms").filter(F.array_contains("terms", F.col("term")))
         postings = counted.groupBy("item_id", "term").agg(F.count("*").alias("tf"))
     else:
         postings = slim.select("item_id", F.explode("terms").alias("term"), F.lit(1).cast("bigint").alias("tf"))
-    lengths = slim.select("item_id", F.size("terms").alias("doc_len")).filter("doc_len > 0")
+    lengths = slim.select("item_id", "doc_len").filter("doc_len > 0")
     return Bm25Index(postings, lengths)
 
 

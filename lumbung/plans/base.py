@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumbung.sources.tables import read_table
@@ -17,12 +17,13 @@ ERRORS = "e AS (SELECT DISTINCT * FROM ingest_errors)"
 DAY = "(DATE '1970-01-01' + CAST(floor(epoch_us({}) / 86400000000) AS INTEGER))"
 
 
-def current_articles(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    """One row of each id, by an aggregate over the columns asked for; others aren't read."""
+def current_articles(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, where: Column | None = None) -> DataFrame:
+    """One row of each id, by an aggregate over the columns asked for; others aren't read. ``where`` may only use columns
+    that all deliveries of an id share (texts, names, labels, dates): it is applied before, and so reaches the scan."""
     order = ["last_harvested_at", "updated_at", "processing_status", "chunk_count", "first_seen_at"]
     df = read_table(spark, sf_dir, "articles")
     wanted = [c for c in (columns or df.columns) if c != "id"]
-    best = df.groupBy("id").agg(F.max_by(F.struct(*wanted), F.struct(*order)).alias("r"))
+    best = (df if where is None else df.filter(where)).groupBy("id").agg(F.max_by(F.struct(*wanted), F.struct(*order)).alias("r"))
     return best.select("id", *(F.col(f"r.{c}").alias(c) for c in wanted))
 
 
