@@ -16,7 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumbung.session import cut
@@ -236,7 +236,10 @@ def _misspelt(forms: DataFrame, key: str, least_ratio: int, most: int) -> DataFr
     both = near.unionByName(near.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b")))
     both = both.join(support.select(F.col("key").alias("key_a"), F.col("w").alias("wa")), "key_a").join(support.select(F.col("key").alias("key_b"), F.col("w").alias("wb")), "key_b")
     both = both.filter((F.col("wb.n") >= F.col("wa.n") * least_ratio) & (F.col("wa.n") <= most) & (F.col("wb") > F.col("wa")))
-    return both.groupBy(F.col("key_a").alias("key")).agg(F.max_by("key_b", "wb").alias("right"))
+    best = cut(both.groupBy(F.col("key_a").alias("key")).agg(F.max_by("key_b", "wb").alias("right")), "best")
+    # a neighbour may itself be misspelt: one hop on, along the strict order
+    on = best.select(F.col("key").alias("right"), F.col("right").alias("on"))
+    return best.join(on, "right", "left").select("key", F.coalesce("on", "right").alias("right"))
 
 
 def resolve_names(names: DataFrame, *, name_col: str = "name") -> DataFrame:
@@ -286,8 +289,9 @@ def resolve_names(names: DataFrame, *, name_col: str = "name") -> DataFrame:
     known = full.select("family", "first").distinct()
     # a nickname or misspelt given name stands for a name that is attested with the family name, if only one is
     meant = _one(known.join(other, "first").join(known.select("family", F.col("first").alias("meant")), ["family", "meant"]), ["family", "first"], "meant")
-    # where none is attested, a nickname stands for its own full name, so that the nicknames of one name meet
-    people = people.join(meant, ["family", "first"], "left").join(nick.withColumnRenamed("meant", "long"), "first", "left")
+    # where none is attested, it stands for its own full name, so that all spellings of that name meet
+    alone = nick.unionByName(typos.join(nick, "first", "left_anti")).select("first", F.col("meant").alias("long"))
+    people = people.join(meant, ["family", "first"], "left").join(alone, "first", "left")
     people = people.withColumn("first", F.coalesce("meant", "long", "first")).drop("meant", "long")
     people = cut(people, "people")
 
@@ -327,4 +331,4 @@ def occurrences(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def entity_sizes(resolved: DataFrame) -> DataFrame:
     """(name, entity, variants): how many strings the entity of each string has."""
-    return resolved.withColumn("variants", F.count("*").over(Window.partitionBy("entity")))
+    return resolved.join(resolved.groupBy("entity").agg(F.count("*").alias("variants")), "entity").select("name", "entity", "variants")
