@@ -156,10 +156,11 @@ def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.evidence(_reranked(spark, sf_dir), least_similarity=0.82, least_rerank=0.012).withColumn("max_similarity", F.round("max_similarity", 6))
 
 
-@query("WITH t AS (SELECT doc_id, source, floor(len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: length(w) > 0)) * 1.4::DOUBLE)::INTEGER + 1 AS tokens FROM documents WHERE source IS NOT NULL), r AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY doc_id) AS run, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM t) SELECT doc_id, tokens, CAST(n AS INTEGER) AS index FROM r WHERE run <= 12000 OR n = 1")
+@query("WITH t AS (SELECT doc_id, source, published_at, floor(len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: length(w) > 0)) * 1.4::DOUBLE)::INTEGER + 1 AS tokens FROM documents WHERE source IS NOT NULL), r AS (SELECT *, sum(tokens) OVER (PARTITION BY source, published_at ORDER BY doc_id) AS run, row_number() OVER (PARTITION BY source, published_at ORDER BY doc_id) AS n FROM t) SELECT doc_id, tokens, CAST(n AS INTEGER) AS index FROM r WHERE run <= 1200 OR n = 1")
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents").filter("source is not null").select("doc_id", "source", F.col("doc_id").alias("position"), text.estimated_tokens(F.col("text")).alias("tokens"))
-    return retrieval.fit_context(d, 12_000, group=["source"]).select("doc_id", "tokens", "index")
+    """What a source published on a day, as the sources of one answer."""
+    d = read_table(spark, sf_dir, "documents").filter("source is not null").select("doc_id", "source", "published_at", F.col("doc_id").alias("position"), text.estimated_tokens(F.col("text")).alias("tokens"))
+    return retrieval.fit_context(d, 1_200, group=["source", "published_at"]).select("doc_id", "tokens", "index")
 
 
 @query("""WITH q AS (SELECT DISTINCT * FROM query_log), t AS (SELECT id, unnest(retrieved_chunk_ids) AS c, generate_subscripts(retrieved_chunk_ids, 1) AS rank FROM q), r AS (SELECT q.endpoint, q.id, min(t.rank) FILTER (WHERE t.c % 7 = q.id % 7) AS rank FROM q LEFT JOIN t ON t.id = q.id GROUP BY 1, 2)
