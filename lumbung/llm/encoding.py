@@ -296,21 +296,22 @@ def garbled_words(df: DataFrame, id_col: str, text_col: str, source_col: str, ro
             for source, token, texts, swaps in zip(b["source"], b["token"], b["words"], b["swaps"]):
                 weights = _weigh(texts, swaps, shares.get(source, {SAME: 0.9}), model)
                 wrong = sum(p for z, p in zip(swaps, weights) if z != SAME)
-                if wrong > 0.5:
-                    out.append((source, token, max((p, w) for w, z, p in zip(texts, swaps, weights) if z != SAME)[1], "", 99.0))
+                best = max((p, w, z) for w, z, p in zip(texts, swaps, weights) if z != SAME) if wrong > 0.5 else None
+                if best and "/" not in best[2]:
+                    out.append((source, token, best[1], "", 99.0, True))
                 elif LOST in token:
-                    out.append((source, token, token, "", 99.0))
-                else:
+                    out.append((source, token, token, "", 99.0, True))
+                else:  # a swap of single characters: the words of a text are put right by the same one
                     same = model.score(token)
-                    out += [(source, token, w, z, odds) for w, z in zip(texts, swaps) if z != SAME for odds in [model.score(w) - same] if odds > 0.5]
-            yield pd.DataFrame(out, columns=["source", "token", "decoded", "swap", "odds"])
+                    out += [(source, token, w, z, odds, bool(best) and z == best[2]) for w, z in zip(texts, swaps) if z != SAME for odds in [model.score(w) - same] if odds > 0.5]
+            yield pd.DataFrame(out, columns=["source", "token", "decoded", "swap", "odds", "sure"])
 
-    decided = cut(open_.mapInPandas(decide, "source string, token string, decoded string, swap string, odds double"), "decided")
+    decided = cut(open_.mapInPandas(decide, "source string, token string, decoded string, swap string, odds double, sure boolean"), "decided")
     found = words.join(decided, ["source", "token"])
-    sure = found.filter("swap = ''").select("item_id", "token", "decoded")
+    clear = found.filter("swap = ''").select("item_id", "token", "decoded")
     maybe = found.filter("swap <> ''")
-    shown = maybe.groupBy("item_id", "swap").agg(F.sum("odds").alias("odds")).filter(F.col("odds") > TEXT_ODDS).groupBy("item_id").agg(F.max_by("swap", F.struct("odds", "swap")).alias("swap"))
-    return sure.unionByName(maybe.join(shown, ["item_id", "swap"]).select("item_id", "token", "decoded")).distinct()
+    shown = maybe.groupBy("item_id", "swap").agg(F.sum("odds").alias("odds"), F.max("sure").alias("sure")).filter(F.col("sure") | (F.col("odds") > TEXT_ODDS)).groupBy("item_id").agg(F.max_by("swap", F.struct("odds", "swap")).alias("swap"))
+    return clear.unionByName(maybe.join(shown, ["item_id", "swap"]).select("item_id", "token", "decoded")).distinct()
 
 
 def find_garbled(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
