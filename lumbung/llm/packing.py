@@ -111,7 +111,7 @@ def pack_sequences(df: DataFrame, id_col: str, text_col: str, *, capacity: int,
     parts = parts.select("item_id", "part_index", (F.col("k") * capacity).alias("token_start"), F.least(F.col("all"), (F.col("k") + 1) * capacity).alias("token_end"))
     parts = parts.withColumn("tokens", F.col("token_end") - F.col("token_start"))
     whole = (F.col("tokens") == capacity) | (F.col("tokens") == 0)
-    alone = parts.filter(whole).withColumn("sequence_id", F.when(F.col("tokens") > 0, F.concat(F.lit("f"), F.hex(F.xxhash64("item_id", "part_index", F.monotonically_increasing_id())))))
+    alone = parts.filter(whole).withColumn("sequence_id", F.when(F.col("tokens") > 0, F.concat_ws("-", F.lit("f"), F.col("item_id").cast("string"), F.col("part_index").cast("string"), F.monotonically_increasing_id().cast("string"))))
     rest = parts.filter(~whole).withColumn("shard", F.pmod(F.xxhash64("item_id", "part_index", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
 
     def fill(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
