@@ -105,9 +105,10 @@ def sketch_texts(df: DataFrame, id_col: str, text_cols: list[str], *, blocks: in
 def _colliding(reps: DataFrame) -> DataFrame:
     """Distinct pairs (da < db) of representatives that share a bucket, however large the bucket."""
     members = reps.select("d", F.explode("keys").alias("bucket"))
-    # counted by an aggregate and joined back, so that a hot bucket is split over tasks as any skewed join
+    # counted by an aggregate and joined back, so that a hot bucket is split over tasks as any skewed join; always by a
+    # shuffle, as the sizes grow with the texts
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("parts"))
-    shared = cut(members.join(sizes, "bucket"), "buckets")
+    shared = cut(members.join(sizes.hint("merge"), "bucket"), "buckets")
     left = shared.select("bucket", F.col("d").alias("da"), F.pmod(F.xxhash64("d"), "parts").cast("int").alias("part"))
     right = shared.select("bucket", F.col("d").alias("db"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     return left.join(right, ["bucket", "part"]).filter("da < db").select("da", "db").distinct()
