@@ -65,8 +65,11 @@ def _sketch(batches: Iterator[pd.DataFrame], blocks: int, radius: int, size: int
     mul = rng.integers(1, 1 << 63, blocks * width, np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 1 << 63, blocks * width, np.uint64)
     of = _WordHashes()
+    sent: set[str] = set()
     for batch in batches:
         ids, texts = batch["item_id"].tolist(), batch["text"].tolist()
+        if len(sent) > 1_000_000:  # a long task's memory is bounded; a repeat then only costs its keys
+            sent.clear()
         for lo in range(0, len(ids), 512):  # so that the arrays of one step stay in the cache
             kept, counts, parts, content = [], [], [], []
             for key, text in zip(ids[lo : lo + 512], texts[lo : lo + 512]):
@@ -92,23 +95,31 @@ def _sketch(batches: Iterator[pd.DataFrame], blocks: int, radius: int, size: int
                         h = (h ^ symbols[b * width + p]) * _MIX[1]
                         h ^= h >> np.uint64(31)
                     keys[:, b * len(masks) + m] = h
-            yield pd.DataFrame({"item_id": kept, "words": np.array(counts, np.int32), "content": content, "keys": list(keys.view(np.int64))})
+            fresh = []
+            for c in content:
+                fresh.append(c not in sent)
+                sent.add(c)
+            yield pd.DataFrame({"item_id": kept, "words": np.array(counts, np.int32), "content": content, "keys": [k if f else None for k, f in zip(keys.view(np.int64), fresh)]})
 
 
 def sketch_texts(df: DataFrame, id_col: str, text_cols: list[str], *, blocks: int = 10, radius: int = 2, shingle: int = 3, min_words: int = 40) -> DataFrame:
     """(item_id, words, content, keys) of each row that has an id and at least ``min_words`` words in its text columns,
-    which are joined by blanks in their order; nulls are left out."""
+    which are joined by blanks in their order; nulls are left out. ``keys`` is null where a task has had the content."""
     slim = df.select(F.col(id_col).cast("string").alias("item_id"), F.concat_ws(" ", *text_cols).alias("text"))
     return slim.mapInPandas(lambda it: _sketch(it, blocks, radius, shingle, min_words), "item_id string, words int, content string, keys array<bigint>")
 
 
-def _colliding(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (da < db) of representatives that share a bucket, however large the bucket."""
-    members = reps.select("d", F.explode("keys").alias("bucket"))
+def _colliding(sketches: DataFrame) -> DataFrame:
+    """Distinct pairs (da < db) of contents, as hashes, that share a bucket, however large the bucket.
+
+    The keys go straight into their buckets: a content that several tasks have seen is there once for each, which only
+    the buckets that are shared anyway are then rid of. Two contents of one 64-bit hash would be missed as a pair.
+    """
+    members = sketches.filter("keys is not null").select(F.xxhash64("content").alias("d"), F.explode("keys").alias("bucket"))
     # counted by an aggregate and joined back, so that a hot bucket is split over tasks as any skewed join; always by a
     # shuffle, as the sizes grow with the texts
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("parts"))
-    shared = cut(members.join(sizes.hint("merge"), "bucket"), "buckets")
+    shared = cut(members.join(sizes.hint("merge"), "bucket").distinct(), "buckets")
     left = shared.select("bucket", F.col("d").alias("da"), F.pmod(F.xxhash64("d"), "parts").cast("int").alias("part"))
     right = shared.select("bucket", F.col("d").alias("db"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     return left.join(right, ["bucket", "part"]).filter("da < db").select("da", "db").distinct()
@@ -145,12 +156,11 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_cols: list[str], *,
     """
     sk = cut(sketch_texts(df, id_col, text_cols, blocks=blocks, radius=radius, shingle=shingle, min_words=min_words), "sketches")
     members = sk.groupBy("item_id").agg(F.min("content").alias("content"))
-    classes = members.groupBy("content").agg(F.min("item_id").alias("class_id"))
+    classes = cut(members.groupBy("content").agg(F.min("item_id").alias("class_id")), "classes")
     members = cut(members.join(classes, "content").select("item_id", "class_id"), "members")
-    reps = sk.join(members.filter("item_id = class_id").select("item_id"), "item_id", "left_semi").dropDuplicates(["item_id"])
-    pairs = _colliding(reps.select(F.xxhash64("item_id").alias("d"), "keys"))
-    names = members.filter("item_id = class_id").select("item_id", F.xxhash64("item_id").alias("d"))
-    pairs = pairs.join(names.select(F.col("d").alias("da"), F.col("item_id").alias("x")), "da").join(names.select(F.col("d").alias("db"), F.col("item_id").alias("y")), "db")
+    pairs = _colliding(sk.select("content", "keys"))
+    names = classes.select(F.xxhash64("content").alias("d"), "class_id")
+    pairs = pairs.join(names.select(F.col("d").alias("da"), F.col("class_id").alias("x")), "da").join(names.select(F.col("d").alias("db"), F.col("class_id").alias("y")), "db")
     pairs = cut(pairs.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b")), "pairs")
     # the texts of only those that have a partner, once each
     partners = pairs.select(F.explode(F.array("item_a", "item_b")).alias("item_id")).distinct()
