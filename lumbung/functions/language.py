@@ -34,16 +34,20 @@ def detect(text: Column) -> Column:
     From 200 characters on, the shares of function words decide; a shorter text, from 12 on, is judged by content words
     and affixes too, with a confidence of at most 0.6. Equal signals, and no signal, give null and 0.
     """
-    tokens = words_of(text)
-    hits = lambda words: F.size(F.filter(tokens, lambda w: w.isin(*words)))
-    n = F.size(tokens)
     length = F.length(F.trim(text))
-    by_id, by_en = hits(ID_WORDS), hits(EN_WORDS)
-    long = F.struct(F.when(by_id > by_en, F.lit("id")).otherwise(F.lit("en")).alias("language"), F.bround(F.abs(by_id - by_en) / F.nullif(by_id + by_en, F.lit(0)), 3).alias("confidence"))
-    wide = F.size(F.filter(tokens, lambda w: w.isin(*sorted({*ID_WORDS, *ID_CONTENT})))) + F.size(F.filter(tokens, lambda w: w.rlike(ID_AFFIXES)))
-    short = F.struct(F.when(wide > by_en, F.lit("id")).otherwise(F.lit("en")).alias("language"), F.bround(F.least(F.lit(0.6), F.abs(wide - by_en) / F.greatest(n, F.lit(1)) * 3), 3).alias("confidence"))
-    none = F.struct(F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"))
-    return F.when(text.isNull() | (length < SHORT_TEXT) | (n == 0), none).when((length >= LONG_TEXT) & (by_id + by_en > 0), long).when(wide != by_en, short).otherwise(none)
+
+    def judged(tokens: Column) -> Column:
+        hits = lambda words: F.size(F.filter(tokens, lambda w: w.isin(*words)))
+        n = F.size(tokens)
+        by_id, by_en = hits(ID_WORDS), hits(EN_WORDS)
+        wide = hits(sorted({*ID_WORDS, *ID_CONTENT})) + F.size(F.filter(tokens, lambda w: w.rlike(ID_AFFIXES)))
+        long = F.struct(F.when(by_id > by_en, F.lit("id")).otherwise(F.lit("en")).alias("language"), F.bround(F.abs(by_id - by_en) / F.nullif(by_id + by_en, F.lit(0)), 3).alias("confidence"))
+        short = F.struct(F.when(wide > by_en, F.lit("id")).otherwise(F.lit("en")).alias("language"), F.bround(F.least(F.lit(0.6), F.abs(wide - by_en) / F.greatest(n, F.lit(1)) * 3), 3).alias("confidence"))
+        none = F.struct(F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"))
+        return F.when(text.isNull() | (length < SHORT_TEXT) | (n == 0), none).when((length >= LONG_TEXT) & (by_id + by_en > 0), long).when(wide != by_en, short).otherwise(none)
+
+    # bound as a lambda's variable, the words are made once
+    return F.transform(F.array(words_of(text)), judged)[0]
 
 
 def resolve(declared: Column, text: Column, url: Column, title: Column) -> Column:
