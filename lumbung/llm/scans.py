@@ -50,10 +50,10 @@ _END = re.compile(r"[.!?:;…][\"'”’»)\]]*\s*$")
 _LOW = re.compile(r"[\W\d]*[a-zß-öø-ÿ]")
 _NUMERIC = re.compile(r"[\d.,%\s-]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_WORD = re.compile(r"[^\W\d_]+(?:[-‑][^\W\d_]+)*")
+_WORD = re.compile(r"(?<![\w†])[^\W\d_]+(?:[-‑][^\W\d_]+)*(?![\w†])")
 _TAIL = re.compile(r"([^\W\d_]+)([-‐‑¬­])\s*$")
 _HEAD = re.compile(r"\s*([^\W\d_]+)")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_] ){3,}[^\W_](?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])(?<!†)(?:[^\W_] ){3,}[^\W_](?![^\W_])")
 _SPACED_HINT = re.compile(r" [^\W_] [^\W_] ")
 _DIGITS = re.compile(r"[\d†][\w†]*(?:[.,]\d[\w†]*)*")
 _ANY_DIGIT = re.compile(r"[\d†]")
@@ -61,6 +61,8 @@ _LONE_DIGITS = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
 _LETTER_LIKE = str.maketrans({"1": "l", "0": "o", "5": "s", "†": "t"})
 _BEFORE = re.compile(r"([^\W\d_]+)\W{1,3}\Z")
 _AFTER = re.compile(r"\s+([^\W\d_]+)")
+_FRAGMENT = re.compile(r"[\w†]+[-‐‑¬­][^\S\n]*\n\s*[\w†]*")
+_MISREAD = re.compile(r"[\w†|]+(?:-[\w†|]+)*(?:[.,][\dOlI]+)?")
 
 # What a scanner reads in the place of what was printed.
 CONFUSIONS = (
@@ -297,7 +299,8 @@ _FOUND = "kind string, item_id string, word string, other string, left_word stri
 def _findings(batches: Iterator[pd.DataFrame], model: LineModel, names: list[set[str]], common: float) -> Iterator[pd.DataFrame]:
     """Findings of a partition. kind f: a header line; h: a word divided at a line's end, ``word`` joined, ``other`` with
     its hyphen; s: a spaced word; m: a word that mixes letters and digits, after the word ``other`` and before ``left_word``; r: a word that isn't
-    common in the partition; w: n texts have the word; p: n numbers stand by the word, ``a #`` after it or ``# a`` before it."""
+    common in the partition; w: n texts have the word; p: n numbers stand by the word, ``a #`` after it or ``# a`` before it.
+    Words are looked for in header lines too, but only body lines have divided words."""
     label = Labeller(model)
     df, follow = Counter(), Counter()
     rare: dict[str, list[str]] = defaultdict(list)
@@ -309,11 +312,12 @@ def _findings(batches: Iterator[pd.DataFrame], model: LineModel, names: list[set
             if key is None or not text:
                 continue
             seen += 1
-            lines = split_lines(text)
+            lines, headers, parts = split_lines(text), [], set()
             if len(lines) > 1:
                 labels = label(line_features(lines, _heads(title, names)))
                 if HEADER in labels:
                     out.append(("f", key, None, None, None, None, None))
+                    headers = [x for x, s in zip(lines, labels) if s == HEADER]
                     lines = [x if s != HEADER else "" for x, s in zip(lines, labels)]
                 cut_words = divided_words(lines, labels)
                 for k, n, left, right, sign in cut_words:
@@ -321,20 +325,23 @@ def _findings(batches: Iterator[pd.DataFrame], model: LineModel, names: list[set
                     out.append(("h", key, joined.lower(), f"{lo}-{ro}", lo if sign in "-‐‑" else "¬", f"{ro}{'^' if right[0].isupper() else ''}", None))
                     lines[k] = _TAIL.sub(" ", lines[k])
                     lines[n] = _HEAD.sub(" ", lines[n], count=1)
-                text = "\n".join(lines)
+                # header lines follow, apart from each other; what is left of words divided elsewhere is no word
+                text = "".join(["\n".join(lines), *(f"\n\n|\n\n{x}" for x in headers)])
+                parts = {p for m in _FRAGMENT.findall(text) for p in re.findall(r"[\w†]+", m)}
             if _SPACED_HINT.search(text):
                 for m in _SPACED.findall(text):
                     out.append(("s", key, m.replace(" ", "").lower(), None, None, None, None))
+                text = _SPACED.sub(" ", text)
             for token, number, before, after in number_tokens(text):
                 if number:
                     follow[before] += 1
                     follow[after] += 1
-                else:
+                elif token not in parts or len(token) > 4:
                     out.append(("m", key, token, before, after, None, None))
-            words = set(_WORD.findall(text.lower()))
+            words = set(_WORD.findall((_FRAGMENT.sub(" ", text) if parts else text).lower()))
             df.update(words)
             for w in words - often:
-                if len(w) >= 4:
+                if len(w) >= 2:  # a letter by itself is an initial or a mark
                     at = rare[w]
                     at.append(key)
                     if len(at) > 200 and len(at) > common * max(seen, 20_000):
@@ -368,7 +375,8 @@ def scan_findings(df: DataFrame, id_col: str, title_col: str, text_col: str, *,
     ``characters`` (item_id, word, right): the misread word as it stands, and what it was.
 
     A word divided at a line's end is damage unless its form with a hyphen is the better attested one. A word is misread
-    if undoing a confusion of CONFUSIONS gives one that at least ``least`` texts and ``ratio`` times as many texts have.
+    if undoing a confusion of CONFUSIONS gives one that at least ``least`` texts and ``ratio`` times as many texts have
+    (for words of two or three letters the square of ``ratio``); a word with digits in it is judged by its neighbours too.
     Words in more than ``common`` of a partition's texts are taken to be right. Null ids and null or empty texts have no
     findings; repeated rows give equal findings; an empty table gives empty ones; other columns are ignored.
     """
@@ -392,22 +400,39 @@ def scan_findings(df: DataFrame, id_col: str, title_col: str, text_col: str, *,
     spaced = found.filter("kind = 's'").select("item_id", "word").distinct()
     mixed = found.filter("kind = 'm'").select("item_id", "word", "other", F.col("left_word").alias("after")).distinct()
     rare = found.filter("kind = 'r'").select("item_id", "word").distinct()
-    # digits within a word, rather than a code: at least three small letters, and more letters than digits
-    wordlike = (F.length(F.regexp_replace("word", r"[^\p{Ll}†]", "")) >= 3) & (F.length(F.regexp_replace("word", r"[^\p{L}†]", "")) > F.length(F.regexp_replace("word", r"\D", "")))
+    # digits within a word, rather than a code: at least three small letters, and more letters than digits; or cased as a
+    # word with as many letters as digits, where the words beside it don't mostly stand by codes (nor, if there aren't more
+    # letters than digits, by numbers)
+    letters_in, digits_in = F.length(F.regexp_replace("word", r"[^\p{L}†]", "")), F.length(F.regexp_replace("word", r"\D", ""))
+    wordlike = (F.length(F.regexp_replace("word", r"[^\p{Ll}†]", "")) >= 3) & (letters_in > digits_in)
+    cased = F.col("word").rlike(r"^(?:[\p{Ll}\d†]+|[\p{Lu}\d†]+|[\p{Lu}\d†][\p{Ll}\d†]+)$") & F.col("word").rlike(r"[\d†]") & (F.length("word") >= 2) & (letters_in >= digits_in)
+    numbers = found.filter("kind = 'p'").groupBy("word").agg(F.sum("n").alias("numbers"))
+    beside = F.explode(F.array("other", "after")).alias("slot")
+    sure = mixed.filter(~wordlike & ~cased).select("item_id", beside).distinct().groupBy("slot").agg(F.count("*").alias("sure"))
+    slots = mixed.filter(~wordlike & cased).select(beside).filter("slot <> ''").distinct()
+    slots = slots.join(lexicon.select(F.col("word").alias("w__"), F.col("n").alias("texts")), F.regexp_replace("slot", "[ #]", "") == F.col("w__"), "left")
+    slots = slots.join(sure, "slot", "left").join(numbers.withColumnRenamed("word", "slot"), "slot", "left").fillna(0, ["sure", "texts", "numbers"])
+    slots = cut(slots.select("slot", (F.col("sure") * ratio >= F.greatest("texts", F.lit(1))).alias("coded"), (2 * F.col("numbers") >= F.greatest("texts", F.lit(1))).alias("counted")).filter("coded or counted"), "slots")
+    doubtful = mixed.filter(~wordlike & cased).withColumn("even", letters_in <= digits_in)
+    for side in ("other", "after"):
+        doubtful = doubtful.join(slots.select(F.col("slot").alias(side), F.col("coded").alias("c__"), F.col("counted").alias("n__")), side, "left")
+        doubtful = doubtful.filter(~(F.coalesce("c__", F.lit(False)) | (F.col("even") & F.coalesce("n__", F.lit(False))))).drop("c__", "n__")
+    worded = cut(mixed.filter(wordlike).select("item_id", "word", F.lit(True).alias("sure")).unionByName(doubtful.select("item_id", "word", F.lit(False).alias("sure"))).distinct(), "worded")
     known = lexicon.filter(F.col("n") >= least).select(F.col("word").alias("right"), F.col("n").alias("attested"))
-    words = lexicon.filter(F.length("word") >= 4).join(rare.select("word").distinct(), "word", "left_semi").select("word", "n")
-    words = words.unionByName(mixed.filter(wordlike).select(F.lower("word").alias("word"), F.lit(0).cast("bigint").alias("n")).distinct())
-    right = words.mapInPandas(_correct, _RIGHT).join(known, "right").filter(F.col("attested") >= F.col("n") * ratio)
+    words = lexicon.filter(F.length("word") >= 2).join(rare.select("word").distinct(), "word", "left_semi")
+    # short words have many neighbours, so that more must speak for them; a word with digits must be the rarer one
+    words = words.select("word", (F.col("n") * F.when(F.length("word") < 4, ratio * ratio).otherwise(ratio)).alias("n"))
+    words = words.unionByName(worded.groupBy(F.lower("word").alias("word")).agg(F.when(F.max("sure"), 0).otherwise(F.count_distinct("item_id")).alias("n")))
+    right = words.mapInPandas(_correct, _RIGHT).join(known, "right").filter(F.col("attested") >= F.col("n"))
     right = cut(right.groupBy("word").agg(F.max_by("right", F.struct("attested", "right")).alias("right")), "right")
     # a number with letters in it: only where numbers, rather than codes, follow the word before it
     digits = mixed.withColumn("right", F.translate("word", "OolIiSsBZbg", "00111558269")).filter(F.col("right").rlike(r"^\d+([.,]\d+)?$") & F.col("word").rlike(r"\d"))
-    numbers = found.filter("kind = 'p'").groupBy("word").agg(F.sum("n").alias("numbers"))
     codes = mixed.select(F.explode(F.array("other", "after")).alias("word"), F.col("word").alias("token")).groupBy("word").agg(F.count("*").alias("codes"))
     usual = numbers.join(codes, "word").filter(F.col("numbers") >= F.greatest(F.lit(least), F.col("codes"))).select("word")
     usual = cut(usual, "usual")
     digits = digits.join(usual.withColumnRenamed("word", "other"), "other", "left_semi")
     digits = digits.filter("after = ''").unionByName(digits.join(usual.withColumnRenamed("word", "after"), "after", "left_semi")).select("item_id", "word", "right")
-    in_words = mixed.filter(wordlike).withColumn("low", F.lower("word")).join(right.select(F.col("word").alias("low"), "right"), "low").select("item_id", "word", "right").join(digits.select("item_id", "word"), ["item_id", "word"], "left_anti")
+    in_words = worded.withColumn("low", F.lower("word")).join(right.select(F.col("word").alias("low"), "right"), "low").select("item_id", "word", "right").join(digits.select("item_id", "word"), ["item_id", "word"], "left_anti")
     letters = rare.join(right, "word").select("item_id", "word", "right")
     apart = spaced.join(known.select(F.col("right").alias("word")), "word").select("item_id", F.regexp_replace("word", "(?<=.)(?=.)", " ").alias("word"), F.col("word").alias("right"))
     characters = letters.unionByName(in_words).unionByName(digits).unionByName(apart).distinct()
@@ -453,7 +478,7 @@ def rebuild(text: str, labels: list[int], joins: set[tuple[str, str]], words: di
         t = re.sub(r"([^\W\d_]+)([-‐‑¬­])(?=([^\W\d_]+))", lambda m: m[1] if m[2] in "¬­" or (m[1].lower(), m[3].lower()) in joins else m[0], t)
         if words:
             t = _SPACED.sub(lambda m: _recase(m[0].replace(" ", ""), words.get(m[0].lower(), m[0])) if m[0].lower() in words else m[0], t)
-            t = re.sub(r"[\w†|]+(?:-[\w†|]+)*(?:[.,][\dOlI]+)?", lambda m: words[m[0]] if m[0] in words else _recase(m[0], words.get(m[0].lower(), m[0])), t)
+            t = _MISREAD.sub(lambda m: _cased(m, words.get(m[0], words.get(m[0].lower(), m[0]))), t)
         out.append(t)
     return "\n\n".join(x for x in out if x)
 
@@ -462,6 +487,19 @@ def _recase(seen: str, right: str) -> str:
     return right.capitalize() if seen[:1].isupper() and right.islower() else right
 
 
+def _cased(m: re.Match, right: str) -> str:
+    """``right`` in the case of the misread word; a single capital tells it only together with the words beside it."""
+    seen = m[0]
+    if right == seen or not right.islower():
+        return right
+    capitals = [c for c in seen if c.isalpha()]
+    if capitals and all(c.isupper() for c in capitals):
+        beside = _LETTERS.findall(m.string[max(0, m.start() - 30) : m.start()])[-1:] + _LETTERS.findall(m.string[m.end() : m.end() + 30])[:1]
+        if len(capitals) > 1 or not seen[0].isalpha() or any(len(w) > 1 and w.isupper() for w in beside):
+            return right.upper()
+    return _recase(seen, right)
+
+
 def repair_scans(df: DataFrame, id_col: str, title_col: str, text_col: str, **how) -> DataFrame:
     """(item_id, repaired_text, damaged) of each distinct id and text. Texts without damage come out as they are."""
     found = scan_findings(df, id_col, title_col, text_col, **how)

@@ -68,6 +68,17 @@ def test_scan_damage_and_repair(spark):
             assert fixed[key]["repaired_text"] == text and not fixed[key]["damaged"]
 
 
+def test_short_and_capital_words_are_repaired(spark):
+    rows = scanned() + [(f"more{i}", "Report", f"This only came from the notes to the station, karena itu; we took H{i}20 of stock.") for i in range(120)]
+    rows += [("odd", "Report", "Thi5 came FR0M THE N0TES T0 the station, karena ltu; on1y B4 blends of B41 blends, B35 blends and rack l7O."), ("head", "Report", "The regional committee\nof the station closed.\n\n12\n\x0cThi5 Journal 12\nThe southern laboratory\nclosed.\n\n13\n\x0cThi5 Journal 13\nThe harbour.")]
+    df = spark.createDataFrame(rows, "id string, title string, text string")
+    found = scans.scan_findings(df, "id", "title", "text", heads=["This Journal"])["characters"].collect()
+    assert {(r["word"], r["right"]) for r in found if r["item_id"] == "odd"} == {("Thi5", "this"), ("FR0M", "from"), ("N0TES", "notes"), ("T0", "to"), ("ltu", "itu"), ("on1y", "only")}
+    assert {(r["word"], r["right"]) for r in found if r["item_id"] == "head"} == {("Thi5", "this")}
+    fixed = {r["item_id"]: r["repaired_text"] for r in scans.repair_scans(df, "id", "title", "text", heads=["This Journal"]).collect()}
+    assert fixed["odd"] == "This came FROM THE NOTES TO the station, karena itu; only B4 blends of B41 blends, B35 blends and rack l7O."
+
+
 def test_scans_of_nothing(spark):
     df = spark.createDataFrame([], "id string, title string, text string")
     assert scans.scan_damage(df, "id", "title", "text", heads=[]).count() == 0
