@@ -8,6 +8,7 @@ document frequencies of all words, by joins, so that nothing that grows with the
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -296,22 +297,20 @@ def fit_line_model(df: DataFrame, id_col: str, title_col: str, text_col: str, he
 _FOUND = "kind string, item_id string, word string, other string, left_word string, right_word string, n bigint"
 
 
-def _findings(batches: Iterator[pd.DataFrame], model: LineModel, names: list[set[str]], common: float) -> Iterator[pd.DataFrame]:
+def _findings(batches: Iterator[pd.DataFrame], model: LineModel, names: list[set[str]]) -> Iterator[pd.DataFrame]:
     """Findings of a partition. kind f: a header line; h: a word divided at a line's end, ``word`` joined, ``other`` with
-    its hyphen; s: a spaced word; m: a word that mixes letters and digits, after the word ``other`` and before ``left_word``; r: a word that isn't
-    common in the partition; w: n texts have the word; p: n numbers stand by the word, ``a #`` after it or ``# a`` before it.
+    its hyphen; s: a spaced word; m: a word that mixes letters and digits, after the word ``other`` and before ``left_word``, in the body ``right_word``;
+    d: the distinct words of a text, ``right_word``, with blanks between, and the body's digest, ``left_word``; p: n numbers stand by the word, ``a #`` after it or ``# a`` before it.
     Words are looked for in header lines too, but only body lines have divided words."""
     label = Labeller(model)
-    df, follow = Counter(), Counter()
-    rare: dict[str, list[str]] = defaultdict(list)
-    often: set[str] = set()
-    seen, out = 0, []
+    follow = Counter()
+    out, held = [], 0
     columns = [c.split()[0] for c in _FOUND.split(", ")]
     for batch in batches:
         for key, title, text in zip(batch["item_id"], batch["title"], batch["text"]):
             if key is None or not text:
                 continue
-            seen += 1
+            body = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
             lines, headers, parts = split_lines(text), [], set()
             if len(lines) > 1:
                 labels = label(line_features(lines, _heads(title, names)))
@@ -337,26 +336,14 @@ def _findings(batches: Iterator[pd.DataFrame], model: LineModel, names: list[set
                     follow[before] += 1
                     follow[after] += 1
                 elif token not in parts or len(token) > 4:
-                    out.append(("m", key, token, before, after, None, None))
-            words = set(_WORD.findall((_FRAGMENT.sub(" ", text) if parts else text).lower()))
-            df.update(words)
-            for w in words - often:
-                if len(w) >= 2:  # a letter by itself is an initial or a mark
-                    at = rare[w]
-                    at.append(key)
-                    if len(at) > 200 and len(at) > common * max(seen, 20_000):
-                        often.add(w)
-                        del rare[w]
-        if len(out) > 50_000:
-            yield pd.DataFrame(out, columns=columns)
-            out = []
-        if len(df) > 2_000_000:  # a long task's memory is bounded; the counts are summed later
-            out += [("w", None, w, None, None, None, n) for w, n in df.items()]
-            out += [("r", key, w, None, None, None, None) for w, at in rare.items() for key in at]
-            df, rare = Counter(), defaultdict(list)
-    most = common * max(seen, 1)
-    out += [("r", key, w, None, None, None, None) for w, at in rare.items() if len(at) <= max(3, most) for key in at]
-    out += [("w", None, w, None, None, None, n) for w, n in df.items()]
+                    out.append(("m", key, token, before, after, body, None))
+            words = " ".join(sorted(set(_WORD.findall((_FRAGMENT.sub(" ", text) if parts else text).lower()))))
+            if words:
+                out.append(("d", key, None, None, body, words, None))
+                held += len(words)
+            if len(out) > 50_000 or held > 20_000_000:  # a long task's memory is bounded
+                yield pd.DataFrame(out, columns=columns).astype({"n": "Int64"})
+                out, held = [], 0
     out += [("p", None, w, None, None, None, n) for w, n in follow.items() if w]
     yield pd.DataFrame(out, columns=columns).astype({"n": "Int64"})
 
@@ -370,21 +357,23 @@ def _correct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _RIGHT = "word string, n bigint, right string"
 
 
-def scan_findings(df: DataFrame, id_col: str, title_col: str, text_col: str, *, heads: list[str], sample: int = 1000, common: float = 0.005, ratio: int = 10, least: int = 5) -> dict[str, DataFrame]:
+def scan_findings(df: DataFrame, id_col: str, title_col: str, text_col: str, *, heads: list[str], sample: int = 1000, ratio: int = 10, least: int = 5) -> dict[str, DataFrame]:
     """What is damaged, as tables: ``furniture`` (item_id), ``hyphenation`` (item_id, left_word, right_word, word) and
     ``characters`` (item_id, word, right): the misread word as it stands, and what it was.
 
     A word divided at a line's end is damage unless its form with a hyphen is the better attested one. A word is misread
     if undoing a confusion of CONFUSIONS gives one that at least ``least`` texts and ``ratio`` times as many texts have
     (for words of two or three letters the square of ``ratio``); a word with digits in it is judged by its neighbours too.
-    Words in more than ``common`` of a partition's texts are taken to be right. Null ids and null or empty texts have no
+    Texts are distinct bodies of the whole table: copies and redeliveries count once. Null ids and null or empty texts have no
     findings; repeated rows give equal findings; an empty table gives empty ones; other columns are ignored.
     """
     slim = df.select(F.col(id_col).cast("string").alias("item_id"), F.col(title_col).alias("title"), F.col(text_col).alias("text"))
     model = fit_line_model(df, id_col, title_col, text_col, heads, sample)
     names = [{w.casefold() for w in _LETTERS.findall(h)} for h in heads]
-    found = cut(slim.mapInPandas(lambda it: _findings(it, model, names, common), _FOUND), "scan")
-    lexicon = cut(found.filter("kind = 'w'").groupBy("word").agg(F.sum("n").alias("n")), "lexicon")
+    found = cut(slim.mapInPandas(lambda it: _findings(it, model, names), _FOUND), "scan")
+    docs = found.filter("kind = 'd'").select("item_id", F.col("left_word").alias("body"), F.col("right_word").alias("words"))
+    once = docs.groupBy("body").agg(F.max("words").alias("words"))  # equal but where titles label lines differently
+    lexicon = cut(once.select(F.explode(F.split("words", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "lexicon")
 
     h = found.filter("kind = 'h'").select("item_id", "word", "other", "left_word", "right_word").distinct()
     h = h.join(lexicon.withColumnRenamed("n", "joined"), "word", "left").join(lexicon.select(F.col("word").alias("other"), F.col("n").alias("whole")), "other", "left")
@@ -398,8 +387,7 @@ def scan_findings(df: DataFrame, id_col: str, title_col: str, text_col: str, *,
 
     # misread words: candidates are looked up in the lexicon, on distinct words only
     spaced = found.filter("kind = 's'").select("item_id", "word").distinct()
-    mixed = found.filter("kind = 'm'").select("item_id", "word", "other", F.col("left_word").alias("after")).distinct()
-    rare = found.filter("kind = 'r'").select("item_id", "word").distinct()
+    mixed = found.filter("kind = 'm'").select("item_id", "word", "other", F.col("left_word").alias("after"), F.col("right_word").alias("body")).distinct()
     # digits within a word, rather than a code: at least three small letters, and more letters than digits; or cased as a
     # word with as many letters as digits, where the words beside it don't mostly stand by codes (nor, if there aren't more
     # letters than digits, by numbers)
@@ -417,12 +405,12 @@ def scan_findings(df: DataFrame, id_col: str, title_col: str, text_col: str, *,
     for side in ("other", "after"):
         doubtful = doubtful.join(slots.select(F.col("slot").alias(side), F.col("coded").alias("c__"), F.col("counted").alias("n__")), side, "left")
         doubtful = doubtful.filter(~(F.coalesce("c__", F.lit(False)) | (F.col("even") & F.coalesce("n__", F.lit(False))))).drop("c__", "n__")
-    worded = cut(mixed.filter(wordlike).select("item_id", "word", F.lit(True).alias("sure")).unionByName(doubtful.select("item_id", "word", F.lit(False).alias("sure"))).distinct(), "worded")
+    worded = cut(mixed.filter(wordlike).select("item_id", "word", "body", F.lit(True).alias("sure")).unionByName(doubtful.select("item_id", "word", "body", F.lit(False).alias("sure"))).distinct(), "worded")
     known = lexicon.filter(F.col("n") >= least).select(F.col("word").alias("right"), F.col("n").alias("attested"))
-    words = lexicon.filter(F.length("word") >= 2).join(rare.select("word").distinct(), "word", "left_semi")
+    words = lexicon.filter(F.length("word") >= 2)  # a letter by itself is an initial or a mark
     # short words have many neighbours, so that more must speak for them; a word with digits must be the rarer one
     words = words.select("word", (F.col("n") * F.when(F.length("word") < 4, ratio * ratio).otherwise(ratio)).alias("n"))
-    words = words.unionByName(worded.groupBy(F.lower("word").alias("word")).agg(F.when(F.max("sure"), 0).otherwise(F.count_distinct("item_id")).alias("n")))
+    words = words.unionByName(worded.groupBy(F.lower("word").alias("word")).agg(F.when(F.max("sure"), 0).otherwise(F.count_distinct("body")).alias("n")))
     right = words.mapInPandas(_correct, _RIGHT).join(known, "right").filter(F.col("attested") >= F.col("n"))
     right = cut(right.groupBy("word").agg(F.max_by("right", F.struct("attested", "right")).alias("right")), "right")
     # a number with letters in it: only where numbers, rather than codes, follow the word before it
@@ -433,7 +421,7 @@ def scan_findings(df: DataFrame, id_col: str, title_col: str, text_col: str, *,
     digits = digits.join(usual.withColumnRenamed("word", "other"), "other", "left_semi")
     digits = digits.filter("after = ''").unionByName(digits.join(usual.withColumnRenamed("word", "after"), "after", "left_semi")).select("item_id", "word", "right")
     in_words = worded.withColumn("low", F.lower("word")).join(right.select(F.col("word").alias("low"), "right"), "low").select("item_id", "word", "right").join(digits.select("item_id", "word"), ["item_id", "word"], "left_anti")
-    letters = rare.join(right, "word").select("item_id", "word", "right")
+    letters = docs.select("item_id", F.explode(F.split("words", " ")).alias("word")).filter(F.length("word") >= 2).join(right, "word").select("item_id", "word", "right")
     apart = spaced.join(known.select(F.col("right").alias("word")), "word").select("item_id", F.regexp_replace("word", "(?<=.)(?=.)", " ").alias("word"), F.col("word").alias("right"))
     characters = letters.unionByName(in_words).unionByName(digits).unionByName(apart).distinct()
     return {"furniture": found.filter("kind = 'f'").select("item_id").distinct(), "hyphenation": hyphenation, "characters": characters, "model": model, "names": names}

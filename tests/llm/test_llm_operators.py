@@ -79,6 +79,14 @@ def test_short_and_capital_words_are_repaired(spark):
     assert fixed["odd"] == "This came FROM THE NOTES TO the station, karena itu; only B4 blends of B41 blends, B35 blends and rack l7O."
 
 
+def test_copies_of_a_misread_body_count_once(spark):
+    rows = [(f"right{i}", "Report", f"The committee met {i} times.") for i in range(20)] + [(f"copy{i:03}", "Report", "The comrnittee met.") for i in range(300)]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "id string, title string, text string").repartition(parts)
+        found = scans.scan_findings(df, "id", "title", "text", heads=[])["characters"].collect()
+        assert {(r["item_id"], r["word"], r["right"]) for r in found} == {(f"copy{i:03}", "comrnittee", "committee") for i in range(300)}
+
+
 def test_scans_of_nothing(spark):
     df = spark.createDataFrame([], "id string, title string, text string")
     assert scans.scan_damage(df, "id", "title", "text", heads=[]).count() == 0
