@@ -70,8 +70,9 @@ _PLAIN = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ð": "d", "ß": "ss",
 _TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
 
-#: A spelling found in more distinct forms than this isn't taken for a misspelling of another.
+#: A spelling found in more distinct forms than this is taken for a misspelling only of one with MISSPELT_RATIO times as many.
 MISSPELT_SHAPES = 2
+MISSPELT_RATIO = 3
 
 
 def fold(text: str) -> str:
@@ -226,16 +227,16 @@ def _one(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def _misspelt(forms: DataFrame, key: str, least_ratio: int, most: int) -> DataFrame:
     """(key, right): misspelt spellings of ``key`` and the better attested one that is one edit away.
 
-    ``forms`` has the columns ``key``, shape and uses. A spelling that occurs in more than ``most`` shapes isn't taken
-    for misspelt, and its neighbour must occur in at least ``least_ratio`` times as many; equals go by use, then by
-    order, so that no two spellings each stand for the other.
+    ``forms`` has the columns ``key``, shape and uses. The neighbour must occur in at least ``least_ratio`` times as
+    many shapes, and in MISSPELT_RATIO times as many if the spelling occurs in more than ``most``; equals go by use, then
+    by order, so that no two spellings each stand for the other.
     """
     support = forms.filter(F.length(key) > 2).groupBy(F.col(key).alias("key")).agg(F.struct(F.count_distinct("shape").alias("n"), F.sum("uses").alias("uses"), F.first(key).alias("k")).alias("w"))
     support = cut(support, "support")
     near = segment_join(support, edits=1).select("key_a", "key_b")
     both = near.unionByName(near.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b")))
     both = both.join(support.select(F.col("key").alias("key_a"), F.col("w").alias("wa")), "key_a").join(support.select(F.col("key").alias("key_b"), F.col("w").alias("wb")), "key_b")
-    both = both.filter((F.col("wb.n") >= F.col("wa.n") * least_ratio) & (F.col("wa.n") <= most) & (F.col("wb") > F.col("wa")))
+    both = both.filter((F.col("wb.n") >= F.col("wa.n") * least_ratio) & ((F.col("wa.n") <= most) | (F.col("wb.n") >= F.col("wa.n") * MISSPELT_RATIO)) & (F.col("wb") > F.col("wa")))
     best = cut(both.groupBy(F.col("key_a").alias("key")).agg(F.max_by("key_b", "wb").alias("right")), "best")
     # a neighbour may itself be misspelt: one hop on, along the strict order
     on = best.select(F.col("key").alias("right"), F.col("right").alias("on"))
@@ -260,7 +261,7 @@ def resolve_names(names: DataFrame, *, name_col: str = "name") -> DataFrame:
     same = spelt.select(F.col("squeezed").alias("key_a"), F.col("squeezed").alias("key_b")).distinct()  # blanks misplaced
     near = near.unionByName(near.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"))).unionByName(same)
     near = near.join(spelt.select(F.col("squeezed").alias("key_a"), F.col("bag").alias("bag_a"), F.col("w").alias("wa")), "key_a").join(spelt.select(F.col("squeezed").alias("key_b"), F.col("bag").alias("bag_b"), F.col("w").alias("wb")), "key_b")
-    right = near.filter((F.col("bag_a") != F.col("bag_b")) & (F.col("wb") > F.col("wa")) & (F.col("wa.n") <= MISSPELT_SHAPES)).groupBy(F.col("bag_a").alias("bag")).agg(F.max_by("bag_b", "wb").alias("right"))
+    right = near.filter((F.col("bag_a") != F.col("bag_b")) & (F.col("wb") > F.col("wa")) & ((F.col("wa.n") <= MISSPELT_SHAPES) | (F.col("wb.n") >= F.col("wa.n") * MISSPELT_RATIO))).groupBy(F.col("bag_a").alias("bag")).agg(F.max_by("bag_b", "wb").alias("right"))
     named = cut(orgs.join(right, "bag", "left").select("name", F.coalesce("right", "bag").alias("bag"), F.when(F.col("right").isNull(), F.col("first")).alias("letters"), "acronym"), "orgs")
     # an acronym stands for the words in the order written, less the place, which is the first or the last of them
     places = named.filter("letters is not null").select("bag", F.explode(F.split("bag", " ")).alias("place"), "letters", "acronym").withColumn("tail", F.expr("substring(letters, 1, length(letters) - 1)")).withColumn("stated", F.when(F.col("acronym") != "", F.col("acronym")))

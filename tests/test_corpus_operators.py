@@ -194,3 +194,10 @@ def test_samples_are_bounded_and_repeatable(spark):
     assert a == b and 350 < len(a) < 700
     counts = {r["g"]: r["count"] for r in stratified_hash_sample(df, "id", "g", 300).groupBy("g").count().collect()}
     assert set(counts) == {"rare", "common"} and all(200 < n < 420 for n in counts.values())
+
+
+def test_misspelt_family_name_in_many_forms(spark):
+    right = [f for x in ("Stephanie", "Robert", "Michael") for f in (f"{x} Yarobonha", f"Yarobonha, {x}", f"{x} {x[0]}. Yarobonha", f"Yarobonha, {x} {x[0]}.")]
+    wrong = ["Stephanie Yarobohna", "Yarobohna, Stephanie", "Stephanie S. Yarobohna"]
+    got = {r["name"]: r["entity"] for r in names.resolve_names(spark.createDataFrame([(r,) for r in right + wrong], "name string")).collect()}
+    assert {got[w] for w in wrong} == {got["Stephanie Yarobonha"]}
