@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbung.llm import encoding, langid, mixing, packing, scans, topics
-from lumbung.plans.corpus import size_limit
+from lumbung.llm import encoding, langid, mixing, names, neardup, packing, pieces, scans, topics
 from lumbung.sources.tables import read_dimension, read_table
 
 
+TEXT_COLUMNS = ["title", "abstract", "full_text"]
+
+
+def size_limit(spark: SparkSession, sf_dir: str, name: str) -> dict:
+    """The row of ``size_limits`` for ``name``."""
+    return next(r.asDict() for r in read_dimension(spark, sf_dir, "size_limits") if r["limit_name"] == name)
+
+
 def _heads(spark: SparkSession, sf_dir: str) -> list[str]:
     return [r["name"] for r in read_dimension(spark, sf_dir, "sources") if r["name"]]
 
@@ -24,6 +31,16 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repair_scans(read_table(spark, sf_dir, "articles"), "id", "title", "full_text", heads=_heads(spark, sf_dir)).withColumnRenamed("item_id", "article_id")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = read_table(spark, sf_dir, "articles")
+    return names.variant_pairs(names.resolve_names(names.occurrences(articles, ["authors", "publisher"])))
+
+
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = read_table(spark, sf_dir, "articles")
+    return names.entity_sizes(names.resolve_names(names.occurrences(articles, ["authors", "publisher"])))
+
+
 def _language_model(articles: DataFrame) -> langid.LanguageModel:
     return langid.fit_language_model(articles, "id", "full_text", "language")
 
@@ -44,6 +61,31 @@ def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.label_texts(p3_segments(spark, sf_dir).withColumnRenamed("article_id", "item_id")).withColumnRenamed("item_id", "article_id")
 
 
+def _pieces_of(df: DataFrame, limit: dict) -> dict:
+    return {"max_size": limit["max_size"], "overlap": limit["overlap_size"], "unit": limit["unit"]}
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles, limit = read_table(spark, sf_dir, "articles"), size_limit(spark, sf_dir, "article_piece")
+    counts = pieces.count_pieces(articles, "id", "full_text", **_pieces_of(articles, limit))
+    return counts.filter("chunk_count > 1").select(F.col("item_id").alias("article_id")).distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every article, one delivery of each id."""
+    articles, limit = read_table(spark, sf_dir, "articles"), size_limit(spark, sf_dir, "article_piece")
+    once = articles.select("id", "full_text").dropDuplicates(["id"])
+    return pieces.split_pieces(once, "id", "full_text", **_pieces_of(articles, limit)).withColumnRenamed("item_id", "article_id")
+
+
+def p4_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles whose stored chunk_count isn't the number of pieces."""
+    articles, limit = read_table(spark, sf_dir, "articles"), size_limit(spark, sf_dir, "article_piece")
+    stored = articles.groupBy("id").agg(F.max_by("chunk_count", F.coalesce("updated_at", F.lit(0).cast("timestamp"))).alias("stored_count"))
+    counts = pieces.count_pieces(articles, "id", "full_text", **_pieces_of(articles, limit)).distinct().withColumnRenamed("item_id", "id")
+    return stored.join(counts, "id").filter(~F.col("stored_count").eqNullSafe(F.col("chunk_count"))).select(F.col("id").alias("article_id"), "stored_count", "chunk_count")
+
+
 def _topic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = read_table(spark, sf_dir, "articles")
     known = [r.asDict() for r in read_dimension(spark, sf_dir, "topics")]
@@ -60,6 +102,17 @@ def p5_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.topic_composition(_topic_labels(spark, sf_dir))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = read_table(spark, sf_dir, "articles")
+    pairs = neardup.near_duplicate_pairs(articles, "id", TEXT_COLUMNS, threshold=0.6, shingle=3, min_words=40)
+    return pairs.select(F.col("item_a").alias("article_id_a"), F.col("item_b").alias("article_id_b"))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = read_table(spark, sf_dir, "articles")
+    return neardup.near_duplicate_groups(articles, "id", TEXT_COLUMNS, threshold=0.6, shingle=3, min_words=40).withColumnRenamed("item_id", "article_id")
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of the packed size."""
     limit = size_limit(spark, sf_dir, "packed_sequence")
@@ -93,5 +146,15 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restore(read_table(spark, sf_dir, "documents"), "doc_id", "text", "source").withColumnRenamed("item_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_segments, p3_languages, p5_found, p5_composition, p7_packed, p7_report, p8_collection, p8_report, p9_found, p9_restored)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_entities, p3_found, p3_segments, p3_languages, p4_found, p4_pieces, p4_chunk_counts, p5_found, p5_composition, p6_found, p6_groups, p7_packed, p7_report, p8_collection, p8_report, p9_found, p9_restored)}
+
+#: What can be said in SQL: the cases themselves, not how they are found.
+ORACLES = {
+    "p6_found": r"""WITH t AS (SELECT id, any_value(concat_ws(' ', title, abstract, full_text)) AS x FROM articles GROUP BY id),
+w AS (SELECT id, regexp_extract_all(lower(x), '[\p{L}\p{N}]+') AS w FROM t),
+s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 40)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS ia, b.id AS ib, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+SELECT ia AS article_id_a, ib AS article_id_b FROM p JOIN n x ON x.id = ia JOIN n y ON y.id = ib WHERE c >= 0.6 * (x.n + y.n - c)""",
+    "p4_found": "SELECT DISTINCT id AS article_id FROM articles WHERE length(full_text) > (SELECT max_size FROM size_limits WHERE limit_name = 'article_piece')",
+}
