@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,6 +45,50 @@ class Ftrl:
         self.n[rows] = grown
         return float(-(target * np.log(np.maximum(p, 1e-12))).sum())
 
+    def batch(self, idx: np.ndarray, values: np.ndarray, starts: np.ndarray, error: Callable[[np.ndarray], np.ndarray], mask: np.ndarray | None = None) -> None:
+        """One step on several samples in compressed rows: sample k holds ``idx[starts[k]:starts[k + 1]]`` (at least one
+        feature). ``error`` turns the samples' logits into the gradients of their loss; ``mask`` (features x classes)
+        is false where a weight stays zero."""
+        used, at = np.unique(idx, return_inverse=True)
+        w = self.weights(used)
+        e = error(np.add.reduceat(w[at] * values[:, None], starts, axis=0))
+        spread = values[:, None] * np.repeat(e, np.diff(np.append(starts, len(idx))), axis=0)
+        g = np.stack([np.bincount(at, spread[:, k], minlength=len(used)) for k in range(self.classes)], axis=1)
+        if mask is not None:
+            g *= mask[used]
+        n = self.n[used]
+        grown = n + g * g
+        self.z[used] += g - (np.sqrt(grown) - np.sqrt(n)) / self.alpha * w
+        self.n[used] = grown
+
+
+class Rows:
+    """Samples as compressed rows, from which batches are taken."""
+
+    def __init__(self, samples: list[np.ndarray], values: list[np.ndarray] | None = None) -> None:
+        self.ends = np.cumsum([len(s) for s in samples]) if samples else np.zeros(0, np.int64)
+        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)[: len(samples)]
+        self.idx = np.concatenate(samples).astype(np.int64) if samples else np.zeros(0, np.int64)
+        self.values = np.concatenate(values) if values else np.ones(len(self.idx))
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def take(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(idx, values, starts) of the samples ``picked``."""
+        lengths = self.ends[picked] - self.starts[picked]
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+        at = np.arange(lengths.sum()) - np.repeat(starts, lengths) + np.repeat(self.starts[picked], lengths)
+        return self.idx[at], self.values[at], starts
+
+    def dot(self, w: np.ndarray, picked: np.ndarray, most: int = 4096) -> np.ndarray:
+        """Logits of the samples ``picked``."""
+        out = np.zeros((len(picked), w.shape[1]))
+        for lo in range(0, len(picked), most):
+            idx, values, starts = self.take(picked[lo : lo + most])
+            out[lo : lo + most] = np.add.reduceat(w[idx] * values[:, None], starts, axis=0)
+        return out
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=-1, keepdims=True))

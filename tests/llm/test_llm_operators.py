@@ -177,10 +177,41 @@ def test_subjects_held_out(spark):
     assert topics.label_topics(odd.limit(0), "id", "title", "abstract", "source", "kind", model).count() == 0
 
 
+def test_co_occurrence_decides_what_words_leave_open():
+    """"cooling plan" stands in texts on power and in texts on health; texts on power with it are on health too, those
+    on farming with it aren't. A vote of words can't tell them apart; the chain can."""
+    rng = random.Random(8)
+    own = {"power": ["steam well", "wind farm", "relay room"], "farm": ["rice mill", "seed dryer", "manure pit"], "health": ["night clinic", "midwife course", "fever ward"]}
+    taxonomy = [{"slug": k, "label_en": k.title(), "label_id": k, "keywords": v[:1]} for k, v in own.items()]
+
+    def document(about: set[str], open_word: bool) -> dict:
+        shown = sorted(about - {"health"}) if open_word else sorted(about)
+        sents = [f"Interviews in Place{rng.randrange(4000)} dealt with {a} and {'cooling plan' if open_word else b}." for s in shown for a, b in [rng.sample(own[s], 2)]]
+        return {"t": f"Notes {rng.randrange(999)}", "a": " ".join(sents), "s": f"s{rng.randrange(3)}", "d": "post", "l": rng.choice(sorted(about)) if rng.random() > 0.1 else rng.choice(sorted(own))}
+
+    kinds = [({"power"}, False), ({"farm"}, False), ({"health"}, False), ({"power", "health"}, True), ({"farm"}, True)]
+    model = topics.fit_documents([document(*kinds[i % 5]) for i in range(1500)], taxonomy)
+    right = [0, 0]
+    held = [(about, document(about, word)) for about, word in kinds[3:] for _ in range(60)]
+    for about, d in held:
+        rows = [model.index[g] for g in model.features(d["t"], d["a"], d["s"], d["d"]) if g in model.index]
+        base = model.weights[[*rows, 0]].sum(axis=0)[None, :]
+        chain = {model.topics[k] for k in np.flatnonzero(topics.beam_decode(base, model.links, model.factor)[0][0])}
+        vote = {model.topics[model.topical[g[2:]]] for g in model.features(d["t"], d["a"], d["s"], d["d"]) if g.startswith("t:") and g[2:] in model.topical}
+        right = [n + (s == about) for n, s in zip(right, (chain, vote))]
+    assert right[0] >= 0.95 * len(held) and right[1] <= 0.6 * len(held)
+
+
+def test_wrong_labels_are_not_learned_by_heart():
+    taxonomy, rows = topic_rows()
+    model = topics.fit_documents([{"t": r[1], "a": r[2], "s": r[3], "d": r[4], "l": r[5]} for r in rows if r[5]], taxonomy)
+    assert 0.04 < model.noise < 0.35
+
+
 def test_beam_finds_the_likeliest_set():
     rng = np.random.default_rng(2)
     base, links = rng.normal(0, 2, (40, 5)), np.triu(rng.normal(0, 1, (5, 5)), 1)
-    best, marginal = topics.beam_decode(base, links, np.ones(5), width=32)
+    best, marginal = topics.beam_decode(base, links, 1.0, width=32)
     sets = np.array([[(m >> i) & 1 for i in range(5)] for m in range(1, 32)], float)
     for row, got in zip(base, best):
         x = row + sets @ links
