@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumbung.operators.components import connected_components
+from lumbung.operators.pairs import pairs_within, spread
 from lumbung.operators.sampling import hash_sample, stratified_hash_sample
 
 
@@ -21,3 +22,16 @@ def test_samples_are_bounded_and_repeatable(spark):
     assert a == b and 350 < len(a) < 700
     counts = {r["g"]: r["count"] for r in stratified_hash_sample(df, "id", "g", 300).groupBy("g").count().collect()}
     assert set(counts) == {"rare", "common"} and all(200 < n < 420 for n in counts.values())
+
+
+def test_pairs_of_a_hot_group_are_made_in_blocks(spark):
+    rows = [("hot", f"v{i:03}") for i in range(60)] + [("two", "x"), ("two", "y"), ("one", "z"), (None, "a"), (None, "b"), ("two", None)]
+    df = spark.createDataFrame(rows, "k string, v string")
+    got = [(r["k"], r["a"], r["b"]) for r in pairs_within(df, "k", "v", block=7).collect()]
+    assert len(got) == len(set(got)) == 60 * 59 // 2 + 1 and ("two", "x", "y") in got and all(a < b for _, a, b in got)
+    assert pairs_within(df.limit(0), "k", "v").count() == 0
+
+
+def test_spread_work_is_not_merged(spark):
+    tasks = spread(spark.range(10)).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks >= 4
