@@ -16,9 +16,10 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumbung.operators.pairs import pairs_within, spread
 from lumbung.session import cut
 
 # Titles, degrees and remarks that are no part of a name.
@@ -44,35 +45,34 @@ ORG_WORDS = {
 }
 ORG_PHRASES = {"pusjian": ("pusat", "kajian"), "br": ("badan", "riset"), "pk": ("pusat", "kajian")}
 LINK_WORDS = frozenset("for of the and dan untuk dari on in di van voor de des du la le et".split())
+# Those of them that no person's name has.
+ORG_LINKS = frozenset("for of the and dan untuk dari on".split())
 
-# Short and pet forms of given names.
+# Pet forms of given names that are neither their beginning nor their end (those are found by a rule).
 NICKNAMES = {
-    "abd": "abdul", "dul": "abdul", "agus": "agustinus", "alex": "alexander", "xander": "alexander", "sandy": "alexander", "sasha": "alexander", "tony": "anthony", "ton": "anthony", "ant": "anthony",
-    "ben": "benjamin", "benny": "benjamin", "benji": "benjamin", "chris": "christopher", "kit": "christopher", "topher": "christopher",
-    "beth": "elizabeth", "liz": "elizabeth", "lizzy": "elizabeth", "eliza": "elizabeth", "betty": "elizabeth", "lisa": "elizabeth", "ella": "elizabeth",
-    "ida": "farida", "rida": "farida", "frans": "fransiska", "siska": "fransiska", "fred": "frederik", "frits": "frederik", "freek": "frederik", "rik": "frederik",
-    "greg": "gregorius", "goris": "gregorius", "gorius": "gregorius", "hen": "hendra", "ibra": "ibrahim", "ibra him": "ibrahim", "baim": "ibrahim", "ib": "ibrahim",
-    "jim": "james", "jimmy": "james", "jamie": "james", "hans": "johannes", "jan": "johannes", "johan": "johannes", "yohanes": "johannes", "joe": "joseph", "joey": "joseph", "jos": "joseph",
-    "pepe": "jose", "pepito": "jose", "juergen": "jurgen", "kate": "katherine", "kathy": "katherine", "katie": "katherine", "kat": "katherine", "cathy": "katherine", "kitty": "katherine",
-    "tina": "kristina", "kris": "kristina", "kristi": "kristina", "leo": "leonardus", "leon": "leonardus", "leonard": "leonardus", "nardus": "leonardus",
-    "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "marge": "margaret", "greta": "margaret", "mike": "michael", "mick": "michael", "mickey": "michael",
-    "moh": "muhammad", "muh": "muhammad", "mochamad": "muhammad", "mohammad": "muhammad", "mohamad": "muhammad", "muhamad": "muhammad", "mohammed": "muhammad", "mohamed": "muhammad", "mhd": "muhammad", "md": "muhammad", "mamat": "muhammad",
-    "nico": "nicolaas", "nick": "nicolaas", "klaas": "nicolaas", "niek": "nicolaas", "claas": "nicolaas", "nur": "nurhayati", "yati": "nurhayati", "hayati": "nurhayati", "okta": "oktavia", "via": "oktavia",
-    "pat": "patricia", "patty": "patricia", "tricia": "patricia", "trish": "patricia", "rahma": "rahmawati", "wati": "rahmawati", "ren": "renee",
-    "rick": "richard", "dick": "richard", "rich": "richard", "richie": "richard", "bob": "robert", "rob": "robert", "bobby": "robert", "bert": "robert", "robbie": "robert",
-    "sam": "samantha", "sammy": "samantha", "mantha": "samantha", "steph": "stephanie", "steffi": "stephanie", "fanny": "stephanie", "sue": "susanna", "susie": "susanna", "susan": "susanna", "sanna": "susanna", "sanne": "susanna", "suzy": "susanna",
-    "ted": "theodore", "theo": "theodore", "teddy": "theodore", "val": "valentina", "tinka": "valentina", "bill": "william", "will": "william", "billy": "william", "liam": "william", "wim": "william", "willy": "william",
-    "mina": "wilhelmina", "wil": "wilhelmina", "willa": "wilhelmina", "minna": "wilhelmina", "helma": "wilhelmina", "yus": "yusuf", "ucup": "yusuf", "yusup": "yusuf", "yvon": "yvonne", "evonne": "yvonne",
-    "zain": "zainal", "inal": "zainal", "lusia": "lucja", "lucia": "lucja", "quen": "quentin", "put": "putri",
+    "sandy": "alexander", "sasha": "alexander", "tony": "anthony", "ton": "anthony", "benny": "benjamin", "benji": "benjamin", "kit": "christopher",
+    "liz": "elizabeth", "lizzy": "elizabeth", "betty": "elizabeth", "lisa": "elizabeth", "ella": "elizabeth", "frits": "frederik",
+    "freek": "frederik", "goris": "gregorius", "baim": "ibrahim", "jim": "james", "jimmy": "james", "jamie": "james", "hans": "johannes",
+    "jan": "johannes", "yohanes": "johannes", "joe": "joseph", "joey": "joseph", "pepe": "jose", "pepito": "jose", "juergen": "jurgen",
+    "kate": "katherine", "kathy": "katherine", "katie": "katherine", "cathy": "katherine", "kitty": "katherine", "maggie": "margaret",
+    "meg": "margaret", "peggy": "margaret", "marge": "margaret", "greta": "margaret", "mike": "michael", "mick": "michael", "mickey": "michael",
+    "moh": "muhammad", "mochamad": "muhammad", "mohammad": "muhammad", "mohamad": "muhammad", "muhamad": "muhammad", "mohammed": "muhammad",
+    "mohamed": "muhammad", "mhd": "muhammad", "md": "muhammad", "mamat": "muhammad", "nick": "nicolaas", "klaas": "nicolaas", "niek": "nicolaas",
+    "claas": "nicolaas", "patty": "patricia", "trish": "patricia", "rick": "richard", "dick": "richard", "richie": "richard", "bob": "robert",
+    "bobby": "robert", "robbie": "robert", "sammy": "samantha", "steffi": "stephanie", "fanny": "stephanie", "sue": "susanna", "susie": "susanna",
+    "sanne": "susanna", "suzy": "susanna", "ted": "theodore", "teddy": "theodore", "tinka": "valentina", "bill": "william", "billy": "william",
+    "wim": "william", "willy": "william", "willa": "wilhelmina", "minna": "wilhelmina", "helma": "wilhelmina", "ucup": "yusuf", "yusup": "yusuf",
+    "evonne": "yvonne", "lusia": "lucja", "lucia": "lucja",
 }
 
 _PLAIN = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ð": "d", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ı": "i", "’": "'", "‘": "'"})
 _TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
 
-#: A spelling found in more distinct forms than this is taken for a misspelling only of one with MISSPELT_RATIO times as many.
-MISSPELT_SHAPES = 2
-MISSPELT_RATIO = 3
+#: A misspelling is outnumbered by its right spelling at this ratio; with one form or use each, order decides.
+MISSPELT_RATIO = 2
+#: Two edits are allowed from this length on.
+LONG = 12
 
 
 def fold(text: str) -> str:
@@ -113,13 +113,14 @@ def segments(length: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def _index(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+def _index(batches: Iterator[pd.DataFrame], k: int, swaps: bool) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = [(f"{len(s)}.{i}.{s[a : a + n]}", s) for s in batch["key"] for i, (a, n) in enumerate(segments(len(s), k))]
+        out += [(f"=.{s}", s) for s in batch["key"]] if swaps else []
         yield pd.DataFrame(out, columns=["probe", "indexed"])
 
 
-def _probe(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+def _probe(batches: Iterator[pd.DataFrame], k: int, swaps: bool) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = set()
         for r in batch["key"]:
@@ -129,9 +130,25 @@ def _probe(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
                     # at most i edits lie before segment i and k - i after it, for the first segment that is unedited
                     for at in range(max(0, a - i, a + longer - (k - i)), min(len(r) - n, a + i, a + longer + (k - i)) + 1):
                         out.add((f"{length}.{i}.{r[at : at + n]}", r))
+            if swaps:
+                out |= {(f"=.{r[:j]}{r[j + 1]}{r[j]}{r[j + 2:]}", r) for j in range(len(r) - 1) if r[j] != r[j + 1]}
         yield pd.DataFrame(list(out), columns=["probe", "probing"])
 
 
+def _shortened(batches: Iterator[pd.DataFrame], edits: int) -> Iterator[pd.DataFrame]:
+    """Each string with up to ``edits`` letters left out: two strings within so many edits have one of these in common."""
+    for batch in batches:
+        out = []
+        for s in batch["key"]:
+            level = {s}
+            everything = set(level)
+            for _ in range(edits):
+                level = {x[:j] + x[j + 1 :] for x in level for j in range(len(x))}
+                everything |= level
+            out += [(x, s) for x in everything]
+        yield pd.DataFrame(out, columns=["probe", "s"])
+
+
 def _verify(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         d = [edit_distance(a, b, most) for a, b in zip(batch["key_a"], batch["key_b"])]
@@ -141,15 +158,34 @@ def _verify(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame
 def segment_join(keys: DataFrame, key: str = "key", *, edits: int = 1) -> DataFrame:
     """(key_a < key_b, distance) of all pairs of different strings within ``edits`` edits (a swap of neighbours is one).
 
-    A swap can touch two segments, so strings are cut for two single edits per allowed edit: k = 2 * ``edits``.
-    Strings of k letters or fewer, null and empty ones are left out: such a short string has empty segments.
+    With one edit, strings are cut in two, and swaps are looked up as whole strings. With more, a swap can touch two
+    segments, so strings are cut for two single edits per allowed edit. Strings too short to be cut so meet in the
+    strings that are left when letters are taken out of them. Null and empty strings have no pair.
     """
-    k = 2 * edits
-    distinct = keys.select(F.col(key).alias("key")).filter(F.length("key") > k).distinct()
-    index = distinct.mapInPandas(lambda it: _index(it, k), "probe string, indexed string")
-    probe = distinct.mapInPandas(lambda it: _probe(it, k), "probe string, probing string")
-    met = probe.join(index, "probe").filter("probing <> indexed").select(F.least("probing", "indexed").alias("key_a"), F.greatest("probing", "indexed").alias("key_b")).distinct()
-    return met.mapInPandas(lambda it: _verify(it, edits), "key_a string, key_b string, distance int")
+    k, swaps = (1, True) if edits == 1 else (2 * edits, False)
+    distinct = keys.select(F.col(key).alias("key")).filter(F.length("key") > 0).distinct()
+    short = spread(distinct.filter(F.length("key") <= k + edits)).mapInPandas(lambda it: _shortened(it, edits), "probe string, s string")
+    distinct = spread(distinct.filter(F.length("key") > k))
+    index = distinct.mapInPandas(lambda it: _index(it, k, swaps), "probe string, indexed string")
+    probe = distinct.mapInPandas(lambda it: _probe(it, k, swaps), "probe string, probing string")
+    met = probe.join(index, "probe").filter("probing <> indexed").select(F.least("probing", "indexed").alias("key_a"), F.greatest("probing", "indexed").alias("key_b"))
+    few = short.join(short.withColumnRenamed("s", "z"), "probe").filter("s < z").select(F.col("s").alias("key_a"), F.col("z").alias("key_b"))
+    return met.unionByName(few).distinct().mapInPandas(lambda it: _verify(it, edits), "key_a string, key_b string, distance int")
+
+
+def near_spellings(keys: DataFrame, key: str = "key") -> DataFrame:
+    """(key_a, key_b), both ways: strings one edit apart, or two where both have LONG letters."""
+    near = segment_join(keys, key, edits=1).select("key_a", "key_b")
+    long = segment_join(keys.filter(F.length(key) >= LONG), key, edits=2).select("key_a", "key_b")
+    near = cut(near.unionByName(long).distinct(), "near")
+    return near.unionByName(near.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b")))
+
+
+def outnumbers(right: str, wrong: str) -> Column:
+    """Whether one spelling (a struct of n, the forms, uses and the spelling) is the better attested one by
+    MISSPELT_RATIO; the same at every size."""
+    n = F.col(f"{right}.n") >= MISSPELT_RATIO * F.col(f"{wrong}.n") - (MISSPELT_RATIO - 1)
+    return (F.col(right) > F.col(wrong)) & n
 
 
 def _degree(word: str) -> bool:
@@ -186,7 +222,7 @@ def parse_name(name: str) -> tuple[str, str, str, str, str, str, str]:
         words += ORG_PHRASES.get(t, (ORG_WORDS.get(t, t),))
     marked = any(t in ORG_WORDS or (t in ORG_PHRASES and len(low) > 2) for t in low) or any(x in REMARKS for x in inside)
     near = len(low) >= 3 and any(len(t) > 5 and any(len(w) > 5 and edit_distance(t, w, 1) <= 1 for w in ORG_WORDS) for t in low)
-    if marked or near or len([t for t in low if len(t) > 1]) > 4:
+    if marked or near or len(low) > 2 and any(t in ORG_LINKS for t in low):
         bag = sorted(w for w in words if w not in LINK_WORDS)
         stated = next((x for x in inside if re.fullmatch(r"[a-z]{2,6}", x) and x not in REMARKS), "")
         return ("org", " ".join(bag), "".join(w[0] for w in words if w not in LINK_WORDS), "", "".join(words), " ".join(bag), stated)
@@ -224,25 +260,33 @@ def _one(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count_distinct(value).alias("n"), F.min(value).alias(value)).filter("n = 1").drop("n")
 
 
-def _misspelt(forms: DataFrame, key: str, least_ratio: int, most: int) -> DataFrame:
-    """(key, right): misspelt spellings of ``key`` and the better attested one that is one edit away.
+def _misspelt(forms: DataFrame, key: str, least_ratio: int) -> DataFrame:
+    """(key, right): misspelt spellings of ``key`` and the better attested one near it, see near_spellings.
 
-    ``forms`` has the columns ``key``, shape and uses. The neighbour must occur in at least ``least_ratio`` times as
-    many shapes, and in MISSPELT_RATIO times as many if the spelling occurs in more than ``most``; equals go by use, then
-    by order, so that no two spellings each stand for the other.
+    ``forms`` has the columns ``key``, shape and uses. The neighbour must outnumber the spelling, and occur in at least
+    ``least_ratio`` times as many shapes; equals go by use, then by order, so that no two spellings each stand for the
+    other. In a name of one or two letters an edit leaves nothing to tell it by: it is no misspelling.
     """
     support = forms.filter(F.length(key) > 2).groupBy(F.col(key).alias("key")).agg(F.struct(F.count_distinct("shape").alias("n"), F.sum("uses").alias("uses"), F.first(key).alias("k")).alias("w"))
     support = cut(support, "support")
-    near = segment_join(support, edits=1).select("key_a", "key_b")
-    both = near.unionByName(near.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b")))
+    both = near_spellings(support)
     both = both.join(support.select(F.col("key").alias("key_a"), F.col("w").alias("wa")), "key_a").join(support.select(F.col("key").alias("key_b"), F.col("w").alias("wb")), "key_b")
-    both = both.filter((F.col("wb.n") >= F.col("wa.n") * least_ratio) & ((F.col("wa.n") <= most) | (F.col("wb.n") >= F.col("wa.n") * MISSPELT_RATIO)) & (F.col("wb") > F.col("wa")))
+    both = both.filter((F.col("wb.n") >= F.col("wa.n") * least_ratio) & outnumbers("wb", "wa"))
     best = cut(both.groupBy(F.col("key_a").alias("key")).agg(F.max_by("key_b", "wb").alias("right")), "best")
     # a neighbour may itself be misspelt: one hop on, along the strict order
     on = best.select(F.col("key").alias("right"), F.col("right").alias("on"))
     return best.join(on, "right", "left").select("key", F.coalesce("on", "right").alias("right"))
 
 
+def short_forms(known: DataFrame) -> DataFrame:
+    """(first, meant): given names that are the beginning or the end of another one and occur, in half of the families
+    that have them, together with it. ``known``: distinct (family, first)."""
+    cuts = known.filter(F.length("first") > 3).select("family", F.col("first").alias("meant"), F.explode(F.expr("flatten(transform(sequence(2, length(first) - 1), i -> array(substring(first, 1, i), substring(first, i))))")).alias("first")).filter(F.length("first").between(2, F.length("meant") - 1)).distinct()
+    together = cuts.join(known, ["family", "first"]).groupBy("first", "meant").agg(F.count("*").alias("n"))
+    often = together.join(known.groupBy("first").agg(F.count("*").alias("all")), "first").filter("2 * n >= all")
+    return often.groupBy("first").agg(F.max_by("meant", F.struct("n", "meant")).alias("meant"))
+
+
 def resolve_names(names: DataFrame, *, name_col: str = "name") -> DataFrame:
     """(name, entity) of each distinct non-blank string: strings of one entity share its key.
 
@@ -257,11 +301,11 @@ def resolve_names(names: DataFrame, *, name_col: str = "name") -> DataFrame:
     orgs = parsed.filter("kind = 'org'")
     support = orgs.groupBy("bag").agg(F.struct(F.count("*").alias("n"), F.sum("uses").alias("uses"), F.first("bag").alias("b")).alias("w"))
     spelt = cut(orgs.select("squeezed", "bag").distinct().join(support, "bag"), "spelt")
-    near = segment_join(spelt, "squeezed", edits=1).select("key_a", "key_b")
+    near = near_spellings(spelt, "squeezed")
     same = spelt.select(F.col("squeezed").alias("key_a"), F.col("squeezed").alias("key_b")).distinct()  # blanks misplaced
-    near = near.unionByName(near.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"))).unionByName(same)
+    near = near.unionByName(same)
     near = near.join(spelt.select(F.col("squeezed").alias("key_a"), F.col("bag").alias("bag_a"), F.col("w").alias("wa")), "key_a").join(spelt.select(F.col("squeezed").alias("key_b"), F.col("bag").alias("bag_b"), F.col("w").alias("wb")), "key_b")
-    right = near.filter((F.col("bag_a") != F.col("bag_b")) & (F.col("wb") > F.col("wa")) & ((F.col("wa.n") <= MISSPELT_SHAPES) | (F.col("wb.n") >= F.col("wa.n") * MISSPELT_RATIO))).groupBy(F.col("bag_a").alias("bag")).agg(F.max_by("bag_b", "wb").alias("right"))
+    right = near.filter((F.col("bag_a") != F.col("bag_b")) & outnumbers("wb", "wa")).groupBy(F.col("bag_a").alias("bag")).agg(F.max_by("bag_b", "wb").alias("right"))
     named = cut(orgs.join(right, "bag", "left").select("name", F.coalesce("right", "bag").alias("bag"), F.when(F.col("right").isNull(), F.col("first")).alias("letters"), "acronym"), "orgs")
     # an acronym stands for the words in the order written, less the place, which is the first or the last of them
     places = named.filter("letters is not null").select("bag", F.explode(F.split("bag", " ")).alias("place"), "letters", "acronym").withColumn("tail", F.expr("substring(letters, 1, length(letters) - 1)")).withColumn("stated", F.when(F.col("acronym") != "", F.col("acronym")))
@@ -272,19 +316,24 @@ def resolve_names(names: DataFrame, *, name_col: str = "name") -> DataFrame:
     org_names = named.select("name", F.concat(F.lit("o:"), "bag").alias("entity")).unionByName(acronyms.select("name", F.concat(F.lit("o:"), "bag").alias("entity")))
 
     # people: misspelt family names, then given names
-    people = parsed.filter("kind = 'person'").join(acronyms.select("name"), "name", "left_anti").select("name", "uses", "family", "first", "middle").withColumn("shape", F.lower(F.regexp_replace("name", r"[^\p{L}]+", " ")))
+    people = parsed.filter("kind = 'person'").join(acronyms.select("name"), "name", "left_anti").select("name", "uses", "family", "first", "middle").withColumn("shape", F.when(F.length("first") > 1, F.col("name")))  # initials don't speak for a spelling
     people = cut(people, "people")
     full = people.filter(F.length("first") > 1)
-    wrong = _misspelt(people, "family", 1, MISSPELT_SHAPES)
+    wrong = cut(_misspelt(people, "family", 1), "wrong")
     # only where the given name is also attested with the right family name
     attested = full.select(F.col("family").alias("right"), "first").distinct()
     fixed = full.join(wrong.withColumnRenamed("key", "family"), "family").join(attested, ["right", "first"], "left_semi").select("name", "right")
-    people = people.join(fixed, "name", "left").withColumn("family", F.coalesce("right", "family")).drop("right")
+    # an initial goes with it where no full given name says that the family name is one of its own
+    own = full.join(fixed, "name", "left_anti").select("family").distinct()
+    moved = people.filter(F.length("first") <= 1).join(wrong.withColumnRenamed("key", "family"), "family").join(own, "family", "left_anti").select("name", "right")
+    people = people.join(fixed.unionByName(moved), "name", "left").withColumn("family", F.coalesce("right", "family")).drop("right")
     people = cut(people, "people")
 
     nick = people.sparkSession.createDataFrame(sorted(NICKNAMES.items()), "first string, meant string")
     vocabulary = people.filter(F.length("first") > 1).select("first", "uses", F.col("family").alias("shape"))
-    typos = _misspelt(vocabulary, "first", 3, 1 << 30).select(F.col("key").alias("first"), F.col("right").alias("meant"))
+    typos = cut(_misspelt(vocabulary, "first", 3).select(F.col("key").alias("first"), F.col("right").alias("meant")), "typos")
+    spelt = vocabulary.join(typos, "first", "left").select(F.col("shape").alias("family"), F.coalesce("meant", "first").alias("first")).distinct()
+    nick = cut(nick.unionByName(short_forms(spelt).join(nick.select("first"), "first", "left_anti")), "nick")
     other = nick.unionByName(typos).distinct()
     full = people.filter(F.length("first") > 1).select("family", "first", "middle")
     known = full.select("family", "first").distinct()
@@ -315,9 +364,7 @@ def resolve_names(names: DataFrame, *, name_col: str = "name") -> DataFrame:
 
 def variant_pairs(resolved: DataFrame) -> DataFrame:
     """(name_a < name_b) of all strings of one entity, of the rows (name, entity) of resolve_names."""
-    left = resolved.select("entity", F.col("name").alias("name_a"))
-    right = resolved.select("entity", F.col("name").alias("name_b"))
-    return left.join(right, "entity").filter("name_a < name_b").select("name_a", "name_b")
+    return pairs_within(resolved, "entity", "name").select(F.col("a").alias("name_a"), F.col("b").alias("name_b"))
 
 
 def occurrences(df: DataFrame, columns: list[str]) -> DataFrame:

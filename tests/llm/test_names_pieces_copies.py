@@ -181,3 +181,49 @@ def test_misspelt_family_name_in_many_forms(spark):
     wrong = ["Stephanie Yarobohna", "Yarobohna, Stephanie", "Stephanie S. Yarobohna"]
     got = {r["name"]: r["entity"] for r in names.resolve_names(spark.createDataFrame([(r,) for r in right + wrong], "name string")).collect()}
     assert {got[w] for w in wrong} == {got["Stephanie Yarobonha"]}
+
+
+def entities(spark, strings: list[str]) -> dict[str, str]:
+    return {r["name"]: r["entity"] for r in names.resolve_names(spark.createDataFrame([(r,) for r in strings], "name string")).collect()}
+
+
+@pytest.mark.parametrize("parts", [1, 8, 64])
+def test_misspelling_in_ten_forms(spark, parts):
+    given = ["Ratna", "Budi", "Clara", "Dewi", "Erik", "Farah", "Gita", "Hadi", "Indah", "Joko"]
+    right = [f for x in given for f in (f"{x} Wijayakusuma", f"Wijayakusuma, {x}", f"Dr. {x} Wijayakusuma")]
+    wrong = [f"{x} Wijayakusumo" for x in given]
+    df = spark.createDataFrame([(r,) for r in right + wrong], "name string").repartition(parts)
+    got = {r["name"]: r["entity"] for r in names.resolve_names(df).collect()}
+    assert all(got[f"{x} Wijayakusumo"] == got[f"{x} Wijayakusuma"] for x in given) and len(set(got.values())) == len(given)
+
+
+def test_misspelling_in_three_forms_and_an_initial(spark):
+    right = ["Ratna Wijayakusuma", "Wijayakusuma, Ratna", "Dr. Ratna Wijayakusuma", "Ratna Wijayakusuma, PhD", "WIJAYAKUSUMA Ratna", "ratna wijayakusuma"]
+    wrong = ["Ratna Wijayakusumo", "Wijayakusumo, Ratna", "Dr. Ratna Wijayakusumo", "R. Wijayakusumo"]
+    got = entities(spark, right + wrong)
+    assert len(set(got.values())) == 1
+
+
+def test_two_edits_in_a_long_name(spark):
+    got = entities(spark, ["Ratna Wijayakusuma", "Wijayakusuma, Ratna", "Ratna Wijayekusumo"])
+    assert len(set(got.values())) == 1
+
+
+def test_people_of_five_names_are_people(spark):
+    for name in ("Ahmad Budi Citra Dewi Eko", "Maria del Carmen Lopez Garcia Ruiz"):
+        assert names.parse_name(name)[0] == "person"
+    assert names.parse_name("Group for Study of Tides")[0] == "org"
+
+
+def test_short_forms_are_learned_from_families(spark):
+    rows = [f"{g} {f}" for f in ("Jongono", "Pertiwi", "Kusnadi") for g in ("Valentina", "Val")] + [f"Zoe {f}" for f in ("Abar", "Beno", "Cira", "Jongono")] + ["Zoeh Jongono"]
+    got = entities(spark, rows)
+    assert all(got[f"Val {f}"] == got[f"Valentina {f}"] for f in ("Jongono", "Pertiwi", "Kusnadi")) and got["Zoe Abar"] != got["Zoe Beno"]
+
+
+def test_short_strings_have_all_their_pairs(spark):
+    rng = random.Random(5)
+    words = {"".join(rng.choices("ab", k=rng.randrange(1, 5))) for _ in range(60)}
+    for edits in (1, 2):
+        got = {(r["key_a"], r["key_b"]) for r in names.segment_join(spark.createDataFrame([(w,) for w in words], "key string"), edits=edits).collect()}
+        assert got == {(a, b) for a in words for b in words if a < b and names.edit_distance(a, b, edits) <= edits}
