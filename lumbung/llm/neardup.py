@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumbung.operators.components import connected_components
+from lumbung.operators.pairs import pairs_within
 from lumbung.session import cut
 
 WORD = re.compile(r"[^\W_]+")
@@ -175,11 +176,10 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_cols: list[str], *,
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_cols: list[str], **how) -> DataFrame:
     """All pairs (item_a < item_b) of ids whose texts are near duplicates, copies included. See near_duplicate_classes."""
     members, links = near_duplicate_classes(df, id_col, text_cols, **how)
-    pairs = links.select(F.col("item_a").alias("ca"), F.col("item_b").alias("cb")).unionByName(members.filter("item_id <> class_id").select(F.col("class_id").alias("ca"), F.col("class_id").alias("cb")).distinct())
-    left = members.select(F.col("class_id").alias("ca"), F.col("item_id").alias("x"))
-    right = members.select(F.col("class_id").alias("cb"), F.col("item_id").alias("y"))
-    out = pairs.join(left, "ca").join(right, "cb").filter("ca <> cb or x < y")
-    return out.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"))
+    left = members.select(F.col("class_id").alias("item_a"), F.col("item_id").alias("x"))
+    right = members.select(F.col("class_id").alias("item_b"), F.col("item_id").alias("y"))
+    across = links.join(left, "item_a").join(right, "item_b").select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"))
+    return across.unionByName(pairs_within(members, "class_id", "item_id").select(F.col("a").alias("item_a"), F.col("b").alias("item_b")))
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_cols: list[str], **how) -> DataFrame:
