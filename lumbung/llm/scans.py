@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumbung.operators.sampling import hash_sample
@@ -62,7 +62,7 @@ _LONE_DIGITS = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
 _LETTER_LIKE = str.maketrans({"1": "l", "0": "o", "5": "s", "†": "t"})
 _BEFORE = re.compile(r"([^\W\d_]+)\W{1,3}\Z")
 _AFTER = re.compile(r"\s+([^\W\d_]+)")
-_FRAGMENT = re.compile(r"[\w†]+[-‐‑¬­][^\S\n]*\n\s*[\w†]*")
+_FRAGMENT = re.compile(r"(?<![\w†])[\w†]+[-‐‑¬­][^\S\n]*\n\s*[\w†]*")
 _MISREAD = re.compile(r"[\w†|]+(?:-[\w†|]+)*(?:[.,][\dOlI]+)?")
 
 # What a scanner reads in the place of what was printed.
@@ -72,6 +72,7 @@ CONFUSIONS = (
     ("ä", "a"), ("á", "a"), ("à", "a"), ("â", "a"), ("í", "i"), ("ì", "i"), ("î", "i"), ("ï", "i"), ("ó", "o"), ("ò", "o"), ("ö", "o"), ("ü", "u"), ("ú", "u"), ("é", "e"), ("è", "e"), ("ë", "e"), ("ê", "e"), ("ç", "c"), ("ñ", "n"),
     ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("6", "g"), ("8", "b"), ("9", "g"), ("9", "q"), ("4", "a"), ("3", "e"), ("7", "t"), ("2", "z"), ("†", "t"), ("|", "l"),
 )
+_READ = {(a, b) for a, b in CONFUSIONS if not a.isalpha()}
 #: Letters that stand for digits in misread numbers.
 DIGIT_LIKE = str.maketrans({"O": "0", "o": "0", "l": "1", "I": "1", "i": "1", "S": "5", "s": "5", "B": "8", "Z": "2", "b": "6", "g": "9", "|": "1"})
 
@@ -87,18 +88,36 @@ def _single(word: str) -> set[str]:
     return {word[:i] + p + word[i + len(s) :] for i, c in enumerate(word) for s, p in _BY_FIRST.get(c, ()) if word.startswith(s, i)}
 
 
+#: Words with more odd characters than this have too many readings to list; they are looked up by canonical().
+LISTED = 4
+
+
 def corrections(word: str) -> set[str]:
     """Words that ``word`` (in lower case) may have been: one confusion undone; or each digit made the letter that it
-    stands for, and with a single digit one more confusion undone."""
+    stands for, and one more confusion undone. Empty for more than LISTED digits and signs, see canonical."""
     odd = _ODD.findall(word)
     if not odd:
         return _single(word) - {word}
-    if len(odd) > 4:
+    if len(odd) > LISTED:
         return set()
     whole = [""]
     for c in word:
         whole = [w + x for w in whole for x in ([p for _, p in _BY_FIRST.get(c, ())] if _ODD.match(c) else (c,))]
-    return set(whole) | ({x for w in whole for x in _single(w)} if len(odd) == 1 else set())
+    return set(whole) | {x for w in whole for x in _single(w)}
+
+
+# Letters and the digits and signs that are read for them, brought to one character each.
+_CANON_FROM, _CANON_TO = "oil|sbgq689zaet†7", "01115666666243777"
+
+
+def canonical(word: Column) -> Column:
+    """A form that is the same for a word and for all its readings with digits or signs in the place of letters."""
+    return F.translate(word, _CANON_FROM, _CANON_TO)
+
+
+def reads_as(seen: str, word: str) -> bool:
+    """Whether each odd character of ``seen`` stands for the letter of ``word`` at its place, and all others are equal."""
+    return len(seen) == len(word) and all(a == b or (a, b) in _READ for a, b in zip(seen, word))
 
 
 def split_lines(text: str) -> list[str]:
@@ -108,8 +127,6 @@ def split_lines(text: str) -> list[str]:
 
 def _template(line: str) -> str:
     """A line without its digits, case and signs, so that running heads with their page numbers are equal."""
-    if len(line) >= 100:
-        return line
     if _ANY_DIGIT.search(line):
         line = _LONE_DIGITS.sub(" ", line).translate(_LETTER_LIKE)
     return "".join(_LETTERS.findall(line)).casefold()
@@ -119,15 +136,16 @@ def line_features(lines: list[str], heads: list[set[str]]) -> list[int]:
     """Bit masks over FEATURES. ``heads``: the word sets of what may run at the head of a page (titles, source names)."""
     bare = [x.strip() for x in lines]
     marks = [bool(b) and len(b) < 40 and bool(_PAGE_MARK.fullmatch(b)) for b in bare]
-    shapes = [re.sub(r"\d+", "#", b) if m else _template(b) for b, m in zip(bare, marks)]
-    often = Counter(s for s, b in zip(shapes, bare) if b)
     lengths = sorted(len(b) for b in bare if b)
     wide = lengths[int(len(lengths) * 0.75)] if lengths else 0
+    most = max(140, wide)  # what runs over a page's edges isn't longer than the lines between them
+    shapes = [re.sub(r"\d+", "#", b) if m else _template(b) if len(b) <= most else b for b, m in zip(bare, marks)]
+    often = Counter(s for s, b in zip(shapes, bare) if b)
     filled = [k for k, b in enumerate(bare) if b]
     before, after = dict(zip(filled[1:], filled)), dict(zip(filled, filled[1:]))
-    edges = [bool(b) and len(b) < 100 and bool(_EDGE_NUMBER.search(x)) for b, x in zip(bare, lines)]
+    edges = [bool(b) and len(b) <= most and bool(_EDGE_NUMBER.search(x)) for b, x in zip(bare, lines)]
     # the neighbours in the running text: the nearest lines that don't look like furniture themselves
-    plain = [k for k in filled if not (marks[k] or edges[k] or often[shapes[k]] > 1 and len(bare[k]) < 100)]
+    plain = [k for k in filled if not (marks[k] or edges[k] or often[shapes[k]] > 1 and len(bare[k]) <= most)]
     left, right, at = {}, {}, 0
     for k in filled:
         while at < len(plain) and plain[at] < k:
@@ -139,7 +157,7 @@ def line_features(lines: list[str], heads: list[set[str]]) -> list[int]:
     counts_on = set()
     where: dict[str, int] = {}
     for k in filled:
-        if len(bare[k]) < 100:
+        if len(bare[k]) <= most:
             m = re.search(r"\d{1,5}", bare[k]) if marks[k] else (re.search(r"^\d{1,5}\b", bare[k]) or re.search(r"\b\d{1,5}$", bare[k]))
             if m:
                 number = int(m[0])
@@ -155,11 +173,11 @@ def line_features(lines: list[str], heads: list[set[str]]) -> list[int]:
         mark = marks[k]
         column = mark and not (k in counts_on) and any(j is not None and abs(j - k) == 1 and _NUMERIC.fullmatch(bare[j]) for j in (p, n))
         short = len(b) < 0.8 * wide
-        words = {w.casefold() for w in _LETTERS.findall(_LONE_DIGITS.sub(" ", b).translate(_LETTER_LIKE))} if len(b) < 100 and (short or mark or b.isupper()) else set()
+        words = {w.casefold() for w in _LETTERS.findall(_LONE_DIGITS.sub(" ", b).translate(_LETTER_LIKE))} if len(b) <= most else set()
         known = len(words) >= 2 and any(len(words & h) >= max(2, 0.6 * len(words)) for h in heads)
         lt, rt = left[k], right[k]
         mid = lt is not None and rt is not None and not _END.search(bare[lt]) and bool(_LOW.match(bare[rt])) and not b[0].islower()
-        flags = (False, mark, column, often[shapes[k]] > 1 and len(b) < 100, edges[k], bool(_END.search(b)) and not mark, b[0].islower(), short, mid, "\x0c" in line, known, k in counts_on, len(b) < 100 and b.isupper() and len(_LETTERS.findall(b)) > 0)
+        flags = (False, mark, column, often[shapes[k]] > 1 and len(b) <= most, edges[k], bool(_END.search(b)) and not mark, b[0].islower(), short, mid, "\x0c" in line, known, k in counts_on, len(b) <= most and b.isupper() and len(_LETTERS.findall(b)) > 0)
         out.append(sum(1 << i for i, f in enumerate(flags) if f))
     return out
 
@@ -262,6 +280,8 @@ def number_tokens(text: str) -> Iterator[tuple[str, bool, str, str]]:
             continue
         token = text[start:hi]
         before, after = _BEFORE.search(text, max(0, start - 30), start), _AFTER.match(text, hi)
+        if before and before.start() == start - 30:  # a longer word
+            before = _BEFORE.search(text, 0, start)
         yield token, not any(c.isalpha() or c == "†" for c in token), f"{before[1].lower()} #" if before else "", f"# {after[1].lower()}" if after else ""
 
 
@@ -277,6 +297,8 @@ def divided_words(lines: list[str], labels: list[int]) -> list[tuple[int, int, s
     for k, n in zip(body, body[1:]):
         line = lines[k]
         tail = _TAIL.search(line, max(0, len(line) - 40)) if line.rstrip()[-1:] in "-‐‑¬­" else None
+        if tail and tail.start() == len(line) - 40:  # a longer word
+            tail = _TAIL.search(line)
         if tail:
             head = _HEAD.match(lines[n])
             if head:
@@ -354,6 +376,12 @@ def _correct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["word", "n", "right"])
 
 
+def _reading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        b = batch[["word", "n", "right", "attested"]]
+        yield b[[reads_as(x, y) for x, y in zip(b["word"], b["right"])]]
+
+
 _RIGHT = "word string, n bigint, right string"
 
 
@@ -411,7 +439,10 @@ def scan_findings(df: DataFrame, id_col: str, title_col: str, text_col: str, *,
     # short words have many neighbours, so that more must speak for them; a word with digits must be the rarer one
     words = words.select("word", (F.col("n") * F.when(F.length("word") < 4, ratio * ratio).otherwise(ratio)).alias("n"))
     words = words.unionByName(worded.groupBy(F.lower("word").alias("word")).agg(F.when(F.max("sure"), 0).otherwise(F.count_distinct("body")).alias("n")))
-    right = words.mapInPandas(_correct, _RIGHT).join(known, "right").filter(F.col("attested") >= F.col("n"))
+    right = words.mapInPandas(_correct, _RIGHT).join(known, "right")
+    many = words.filter(F.length(F.regexp_replace("word", r"[^\d†|]", "")) > LISTED).withColumn("form", canonical(F.col("word")))
+    many = many.join(known.withColumn("form", canonical(F.col("right"))), "form").drop("form").mapInPandas(_reading, f"{_RIGHT}, attested bigint")
+    right = right.select("word", "n", "right", "attested").unionByName(many.select("word", "n", "right", "attested")).filter(F.col("attested") >= F.col("n"))
     right = cut(right.groupBy("word").agg(F.max_by("right", F.struct("attested", "right")).alias("right")), "right")
     # a number with letters in it: only where numbers, rather than codes, follow the word before it
     digits = mixed.withColumn("right", F.translate("word", "OolIiSsBZbg", "00111558269")).filter(F.col("right").rlike(r"^\d+([.,]\d+)?$") & F.col("word").rlike(r"\d"))

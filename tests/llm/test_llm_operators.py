@@ -93,6 +93,21 @@ def test_scans_of_nothing(spark):
     assert scans.repair_scans(df, "id", "title", "text", heads=[]).count() == 0
 
 
+def test_rare_and_common_misreadings_are_found_in_any_partitioning(spark):
+    """A misreading in 1 % of the texts, one with five digits, and a running head wider than a hundred letters."""
+    rows = [(f"r{i:03}", "Report", f"The government met {i} times and the organizations of the harbour closed.") for i in range(297)]
+    rows += [(f"m{i}", "Report", f"The govemment met {i} hundred times and the 0rgan1zat10n5 of the harbour closed.") for i in range(3)]
+    head = "Proceedings of the regional assembly of harbour keepers, station masters and permanent inspectors of the archipelago"
+    rows.append(("wide", "Report", "\f".join(f"{head} {n}\nThe government of the harbour met many times in the permanent station of the regional assembly, where it\nclosed the harbour and the station and the archipelago for all the permanent inspectors.\n" for n in range(3))))
+    seen = []
+    for parts in (1, 8, 64):
+        df = spark.createDataFrame(rows, "id string, title string, text string").repartition(parts)
+        found = scans.scan_findings(df, "id", "title", "text", heads=[])
+        seen.append({(r["item_id"], r["word"], r["right"]) for r in found["characters"].collect()})
+        assert {r["item_id"] for r in found["furniture"].collect()} == {"wide"}
+    assert seen[0] == seen[1] == seen[2] == {(f"m{i}", w, r) for i in range(3) for w, r in (("govemment", "government"), ("0rgan1zat10n5", "organizations"))}
+
+
 def test_corrections():
     assert "from" in scans.corrections("frorn") and "dari" in scans.corrections("clari") and "yang" in scans.corrections("yan9") and "fr0m" not in scans.corrections("fr0m")
     assert scans.corrections("1234567") == set() and scans.corrections("") == set()
