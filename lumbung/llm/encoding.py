@@ -1,19 +1,22 @@
 """Garbled text from a wrong character encoding: found and restored.
 
-A swap of code pages is a substitution cipher: it replaces letters by fixed characters or runs of them. Which swaps a
-source has suffered is unknown, so it is learned by expectation-maximisation: the hidden variable is the swap of each
-odd word, its likelihood that of the word it would have been under a character bigram model, and the parameters are the
-shares of the swaps in each source, the bigram model, and with them the mapping of garbled runs to letters. The swaps
-tried are those of public code pages, up to three in a row. The mapping is applied to the texts as a translation.
+A swap of code pages is a substitution cipher: it replaces letters by fixed characters, or by runs of them where UTF-8
+was read in a single-byte page. What a source has suffered is unknown, so it is learned by expectation-maximisation
+against character bigrams: the hidden variable is what each odd word was, its likelihood that of the word under the bigram
+model, and the parameters are, for each source, the shares of the swaps and the mapping of garbled characters to letters,
+and the bigram model itself. The code pages of Python's library, all of them, give the mappings to start from; swaps in
+UTF-8 may lie up to three deep. The learned mapping is applied to the words by translate().
 """
 
 from __future__ import annotations
 
+import encodings.aliases
 import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -21,19 +24,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumbung.functions.rows import map_keyed
+from lumbung.operators.pairs import spread
 from lumbung.session import cut
 
-# Single-byte code pages that UTF-8 is often read in, and pages of which one is read for another.
-PAGES = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "cp1257", "mac_roman", "cp437", "cp850", "cp866", "koi8_r", "iso8859_2", "iso8859_15")
-SWAPS = (("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp1252", "cp1253"), ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1251", "koi8_r"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1251", "cp1252"), ("cp1250", "cp1252"))
-#: Pages in which clean words are full of what could start a sequence: only whole runs are taken for misread ones.
-WHOLE = frozenset(("cp1251", "cp866", "koi8_r"))
+@lru_cache(None)
+def code_pages() -> tuple[str, ...]:
+    """All single-byte code pages that the library knows and whose lower half is ASCII, one of each that are equal; the
+    ones that are met most first."""
+    first = ["cp1252", "latin_1", "cp1250", "cp1251", "cp850", "cp437", "mac_roman", "cp1253", "koi8_r"]
+    pages: dict[tuple, str] = {}
+    for name in first + sorted(set(encodings.aliases.aliases.values()) - set(first)):
+        try:
+            if bytes(range(128)).decode(name) != bytes(range(128)).decode("ascii"):
+                continue
+            half = tuple(bytes([b]).decode(name, "ignore") for b in range(128, 256))
+        except (LookupError, ValueError):  # not of characters, not here, or of several bytes
+            continue
+        if all(len(c) <= 1 for c in half) and sum(map(bool, half)) >= 60 and "\uff61" not in half:
+            pages.setdefault(half, name)
+    return tuple(pages.values())
+
+
+@lru_cache(None)
+def whole_runs(page: str) -> bool:
+    """Whether clean words in the page are full of what could start a UTF-8 sequence: it has more letters of another
+    script than of the Latin one. Only whole runs of odd characters are then taken for misread ones."""
+    letters = [c for c in page_chars(page).values() if c.isalpha()]
+    return sum("LATIN" not in unicodedata.name(c, "") for c in letters) > len(letters) / 2
+
+
 LOST = "�"
 SAME = "-"
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 _ODD = re.compile(r"[^\x00-\x7f]+")
-#: What one page read for another leaves: odd letters in a row, a capital or a sign within a word, a character alone.
-_SWAPPED = re.compile("[a-zß-öø-ÿа-я][À-ÖØ-ÞА-Я]|^[^\\x00-\\x7f][.,;:]?$|[À-ÖØ-öø-ɏ]{3}|[A-Za-z][Ͱ-ӿ∀-⏿─-◿]|[Ͱ-ӿ∀-⏿─-◿][a-z]|[^\\W\\d_][\xa1-\xbf\xd7\xf7ƒ‚„†‡ˆ‰‹•˜™›∂-≥◊][^\\W\\d_]|[\x80-\x9f]")
 #: A word with a character beyond ASCII, between ASCII blanks.
 _TOKEN = re.compile(r"[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*")
 
@@ -68,6 +91,8 @@ def page_chars(page: str) -> dict[int, str]:
 def undo_utf8(text: str, page: str) -> str:
     """``text`` with each valid UTF-8 sequence that was read in ``page`` put right; all else as it is."""
     table = page_bytes(page)
+    if not any(ord(c) in table and "\xc2" <= table[ord(c)] <= "\xf4" for c in text):  # nothing could start a sequence
+        return text
 
     def run(m: re.Match) -> str:
         raw = m[0].translate(table)
@@ -77,11 +102,11 @@ def undo_utf8(text: str, page: str) -> str:
         for s in _UTF8.finditer(raw):
             if any(ord(c) > 255 for c in s[0]):
                 continue
-            if s.start() > at and page in WHOLE:
+            if s.start() > at and whole_runs(page):
                 return m[0]
             out += [m[0][at : s.start()], s[0].encode("latin-1").decode("utf-8")]
             at = s.end()
-        if at < len(m[0]) and page in WHOLE:
+        if at < len(m[0]) and whole_runs(page):
             return m[0]
         out.append(m[0][at:])
         return "".join(out) if sum(map(len, out)) < len(m[0]) else m[0]
@@ -89,19 +114,36 @@ def undo_utf8(text: str, page: str) -> str:
     return _ODD.sub(run, text)
 
 
-def undo_swap(text: str, read: str, meant: str) -> str | None:
-    """``text`` read in the page ``read`` though written in ``meant``; None if a character isn't of that page."""
-    table, chars = page_bytes(read), page_chars(meant)
+@lru_cache(200_000)
+def run_swaps(before: str, run: str, after: str) -> tuple[tuple[str, str], ...]:
+    """(swap, what it makes of the run) of a run of odd characters between characters of the kinds ``before`` and
+    ``after``, for every page that it may have been read in and every one that it may have been written in; without
+    what isn't letters of one script or signs of Western pages, or is much less likely beside these kinds."""
     out = []
-    for c in text:
-        if ord(c) < 128:
-            out.append(c)
-        else:
-            b = table.get(ord(c))
-            if b is None or ord(b) not in chars:
-                return None
-            out.append(chars[ord(b)])
-    return "".join(out)
+    pages = code_pages()
+    own = _fit(before, run, after)
+    fits: dict[str, bool] = {}
+    for i, read in enumerate(pages):
+        table = page_bytes(read)
+        raw = "".join(table.get(ord(c), "?") for c in run)
+        if "?" in raw:
+            continue
+        for j, meant in enumerate(pages):
+            chars = page_chars(meant)
+            new = "".join(chars.get(ord(b), "\0") for b in raw)
+            if new not in fits:
+                scripts = {_script(kind(c))[:-1] for c in new if _script(kind(c))}
+                odd = any(unicodedata.category(c)[0] == "C" or ord(c) > 255 and unicodedata.category(c) in ("So", "Sm", "Sk", "Lm", "No") for c in new)
+                fits[new] = new != run and len(scripts) <= 1 and not odd and _fit(before, new, after) > own - 5
+            if fits[new]:
+                out.append((max(i, j), i + j, f"{read}/{meant}", new))
+    return tuple((z, new) for _, _, z, new in sorted(out))
+
+
+def _fit(before: str, run: str, after: str) -> float:
+    """Log of how likely the kinds of a run's characters are beside the kinds ``before`` and ``after``."""
+    k = [before, *map(kind, run), after]
+    return sum(math.log(prior(x, y)) for x, y in zip(k, k[1:])) / (len(run) + 1) * 2
 
 
 def candidates(token: str) -> dict[str, str]:
@@ -111,16 +153,22 @@ def candidates(token: str) -> dict[str, str]:
     for _ in range(3):
         more = []
         for text, chain in todo:
-            for page in PAGES:
+            for page in code_pages():
                 new = undo_utf8(text, page)
                 if new not in found:
                     found[new] = f"{chain}>{page}" if chain else page
                     more.append((new, found[new]))
         todo = more
-    for read, meant in SWAPS if _SWAPPED.search(token) else ():
-        new = undo_swap(token, read, meant)
-        if new is not None and new not in found and not any(unicodedata.category(c) in ("Cc", "Cn", "So", "Sm") for c in new if ord(c) > 127):
-            found[new] = f"{read}/{meant}"
+    # one page read for another: all runs of odd characters by the same swap
+    options: dict[str, list[str]] | None = None
+    runs = list(_ODD.finditer(token))
+    for m in runs:
+        here = dict(run_swaps(kind(token[m.start() - 1]) if m.start() else "_", m[0], kind(token[m.end()]) if m.end() < len(token) else "_"))
+        options = {z: [*(options or {}).get(z, []), new] for z, new in here.items() if options is None or z in options}
+    for z, news in (options or {}).items():
+        it = iter(news)
+        new = _ODD.sub(lambda _, it=it: next(it), token)
+        found.setdefault(new, z)
     return found
 
 
@@ -187,9 +235,10 @@ class BigramModel:
         return sum(map(self.log, w, w[1:]))
 
 
+@lru_cache(200_000)
 def suspicious(token: str) -> bool:
     """Left out of the first bigram model: what decodes, or has three odd Latin letters in a row."""
-    return LOST in token or any(undo_utf8(token, p) != token for p in PAGES) or bool(re.search("[\x80-\x9f]|[À-ɏ]{3}", token))
+    return LOST in token or any(undo_utf8(token, p) != token for p in code_pages()) or bool(re.search("[\x80-\x9f]|[À-ɏ]{3}", token))
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,21 +257,56 @@ def _options(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(words=[[w for w, _ in o] for o in options], swaps=[[z for _, z in o] for o in options])
 
 
-def _weigh(words: list[str], swaps: list[str], shares: dict[str, float], model: BigramModel) -> list[float]:
-    """Probabilities of the candidates of a token."""
-    scores = [model.score(w) + math.log(shares.get(z, 1e-5)) for w, z in zip(words, swaps)]
-    best = max(scores)
-    odds = [math.exp(x - best) for x in scores]
-    total = sum(odds)
-    return [x / total for x in odds]
-
-
-def learn_swaps(tokens: DataFrame, open_: DataFrame, rounds: int = 3, most_bigrams: int = 2_000_000) -> tuple[dict[str, dict[str, float]], BigramModel]:
-    """Shares of the swaps in each source, and the bigram model. ``tokens`` (source, token, n, choice) of all texts;
-    ``open_``: those that have a choice of what they were, with the columns words and swaps, their candidates.
-
-    Each round is one distributed pass over the open tokens; what comes to the driver is bounded by the sources times
-    the swaps, and by the pairs of characters in use.
+def garbled_units(token: str, word: str, swap: str) -> list[tuple[str, str]]:
+    """(garbled character, letter) of the odd characters of a token that a swap of pages makes ``word``."""
+    return [(x, y) for x, y in zip(token, word) if x > "\x7f"] if "/" in swap else []
+
+
+@dataclass
+class Learned:
+    """What is known of each source: the shares of swaps, and the letters that its garbled characters stand for."""
+
+    shares: dict[str, dict[str, float]]
+    letters: dict[str, dict[str, dict[str, float]]]  # source -> garbled character -> letter -> expected count
+    model: BigramModel
+
+    def weigh(self, source: str, token: str, words: list[str], swaps: list[str]) -> list[float]:
+        """Probabilities of the candidates of a token."""
+        shares, letters = self.shares.get(source, {SAME: 0.9}), self.letters.get(source, {})
+        scores = []
+        for w, z in zip(words, swaps):
+            x = self.model.score(w) + math.log(shares.get(z, 1e-5))
+            for u, c in garbled_units(token, w, z):
+                n = letters.get(u)
+                x += math.log((n.get(c, 0.0) + 0.5) / (sum(n.values()) + 1.0)) if n else 0.0
+            scores.append(x)
+        best = max(scores)
+        odds = [math.exp(x - best) for x in scores]
+        total = sum(odds)
+        return [x / total for x in odds]
+
+    def table(self, source: str, token: str, word: str, swap: str) -> dict[int, str]:
+        """The translation of the token's garbled characters: the letter that the source's mapping has for each, where
+        there is one that is clearly the most frequent, or else the page's."""
+        out = {}
+        for u, c in garbled_units(token, word, swap):
+            n = self.letters.get(source, {}).get(u) or {c: 1.0}
+            best = max(n, key=lambda k: (n[k], k))
+            out[ord(u)] = best if n[best] > 4 * n.get(c, 0.0) + 2 else c
+        return out
+
+
+OPEN_WEIGHT = 0.1
+
+
+def learn_swaps(tokens: DataFrame, open_: DataFrame, rounds: int = 3, most_rows: int = 2_000_000) -> Learned:
+    """Shares of the swaps and meanings of garbled characters in each source, and the bigram model. ``tokens`` (source,
+    token, n, choice) of all texts; ``open_``: those that have a choice of what they were, with the columns words and
+    swaps, their candidates.
+
+    Each round is one distributed pass over the open tokens. What comes to the driver is bounded by the sources times the
+    swaps and garbled characters, and by the pairs of characters in use; rather than lose some, it raises beyond
+    ``most_rows``, which is more than any writing has.
     """
 
     def starting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,36 +319,44 @@ def learn_swaps(tokens: DataFrame, open_: DataFrame, rounds: int = 3, most_bigra
                     w = f"^{token}$"
                     for pair in zip(w, w[1:]):
                         out["o" if choice else "b", *pair] += n
-            yield pd.DataFrame([(k, x, y, float(n)) for (k, x, y), n in out.items()] + [("z", s, z, float(n)) for (s, z), n in sources.items()], columns=["kind", "x", "y", "n"])
+            yield pd.DataFrame([(k, x, y, "", float(n)) for (k, x, y), n in out.items()] + [("z", s, z, "", float(n)) for (s, z), n in sources.items()], columns=["kind", "x", "y", "u", "n"])
 
-    def stepping(shares: dict[str, dict[str, float]], model: BigramModel):
+    def stepping(learned: Learned):
         def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                out, swaps = defaultdict(float), defaultdict(float)
-                for source, n, words, chains in zip(b["source"], b["n"], b["words"], b["swaps"]):
-                    for word, z, p in zip(words, chains, _weigh(words, chains, shares.get(source, {SAME: 0.9}), model)):
+                out, swaps, units = defaultdict(float), defaultdict(float), defaultdict(float)
+                for source, token, n, words, chains in zip(b["source"], b["token"], b["n"], b["words"], b["swaps"]):
+                    for word, z, p in zip(words, chains, learned.weigh(source, token, words, chains)):
                         if p > 1e-4:
                             swaps[source, z] += n * p
+                            for u, c in garbled_units(token, word, z) if p > 1e-2 else ():
+                                units[source, c, u] += n * p
                             if LOST not in word:
                                 w = f"^{word}$"
                                 for pair in zip(w, w[1:]):
                                     out[pair] += n * p
-                yield pd.DataFrame([("b", x, y, n) for (x, y), n in out.items()] + [("z", s, z, n) for (s, z), n in swaps.items()], columns=["kind", "x", "y", "n"])
+                yield pd.DataFrame([("b", x, y, "", n) for (x, y), n in out.items()] + [("z", s, z, "", n) for (s, z), n in swaps.items()] + [("u", s, c, u, n) for (s, c, u), n in units.items()], columns=["kind", "x", "y", "u", "n"])
 
         return step
 
-    def run(tokens: DataFrame, f) -> dict[str, Counter]:
-        rows = tokens.mapInPandas(f, "kind string, x string, y string, n double").groupBy("kind", "x", "y").agg(F.sum("n").alias("n")).limit(most_bigrams).collect()
-        if len(rows) == most_bigrams:
+    def run(tokens: DataFrame, f) -> dict[str, dict]:
+        rows = tokens.mapInPandas(f, "kind string, x string, y string, u string, n double").groupBy("kind", "x", "y", "u").agg(F.sum("n").alias("n")).limit(most_rows).collect()
+        if len(rows) == most_rows:
             raise ValueError("more pairs of characters than any writing has; is the text binary?")
-        return {k: Counter({(r["x"], r["y"]): r["n"] for r in rows if r["kind"] == k}) for k in "boz"}
+        out: dict[str, dict] = {k: Counter({(r["x"], r["y"]): r["n"] for r in rows if r["kind"] == k}) for k in "boz"}
+        out["u"] = {}
+        for r in rows:
+            if r["kind"] == "u":
+                out["u"].setdefault(r["x"], {}).setdefault(r["u"], {})[r["y"]] = r["n"]
+        return out
 
     start = run(tokens, starting)
     clear_pairs, clear_swaps = start["b"], start["z"]
-    model, shares = BigramModel(clear_pairs + start["o"]), {}
+    # words with a choice weigh little at first, so that a garbled word doesn't speak for itself
+    learned = Learned({}, {}, BigramModel(clear_pairs + Counter({k: OPEN_WEIGHT * n for k, n in start["o"].items()})))
     for _ in range(rounds):
-        step = run(open_, stepping(shares, model))
-        pairs, swaps = step["b"], clear_swaps + step["z"]
+        step = run(open_, stepping(learned))
+        swaps = clear_swaps + step["z"]
         totals, overall = Counter(), Counter()
         for (s, z), n in swaps.items():
             totals[s] += n
@@ -272,12 +364,12 @@ def learn_swaps(tokens: DataFrame, open_: DataFrame, rounds: int = 3, most_bigra
         everything = sum(overall.values()) or 1.0
         # swaps seen in other sources are possible, if less likely, in this one
         shares = {s: {z: (swaps.get((s, z), 0.0) + 5.0 * overall[z] / everything) / (totals[s] + 5.0) for z in overall} for s in totals}
-        model = BigramModel(clear_pairs + pairs)
-    return shares, model
+        learned = Learned(shares, step["u"], BigramModel(clear_pairs + step["b"]))
+    return learned
 
 
 #: Sum of log odds from which the odd words of a text, none of them sure by itself, show a swap of the whole text.
-TEXT_ODDS = 7.0
+TEXT_ODDS = 5.5
 
 
 def garbled_words(df: DataFrame, id_col: str, text_col: str, source_col: str, rounds: int = 3) -> DataFrame:
@@ -286,32 +378,37 @@ def garbled_words(df: DataFrame, id_col: str, text_col: str, source_col: str, ro
     of its text that would be likelier by the same swap outweigh TEXT_ODDS together."""
     words = cut(map_keyed(df, id_col, {"source": F.col(source_col).cast("string"), "text": F.col(text_col)}, _words, "source string, token string", drop_null=True), "words")
     tokens = words.groupBy("source", "token").agg(F.count("*").alias("n"))
-    tokens = cut(tokens.mapInPandas(_options, "source string, token string, n bigint, words array<string>, swaps array<string>"), "tokens")
-    open_ = tokens.filter((F.size("words") > 1) | F.col("token").contains(LOST))
-    shares, model = learn_swaps(tokens.select("source", "token", "n", ((F.size("words") > 1) | F.col("token").contains(LOST)).alias("choice")), open_, rounds)
+    tokens = cut(spread(tokens).mapInPandas(_options, "source string, token string, n bigint, words array<string>, swaps array<string>"), "tokens")
+    open_ = cut(spread(tokens.filter((F.size("words") > 1) | F.col("token").contains(LOST))), "open")
+    learned = learn_swaps(tokens.select("source", "token", "n", ((F.size("words") > 1) | F.col("token").contains(LOST)).alias("choice")), open_, rounds)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for source, token, texts, swaps in zip(b["source"], b["token"], b["words"], b["swaps"]):
-                weights = _weigh(texts, swaps, shares.get(source, {SAME: 0.9}), model)
+                weights = learned.weigh(source, token, texts, swaps)
                 wrong = sum(p for z, p in zip(swaps, weights) if z != SAME)
                 best = max((p, w, z) for w, z, p in zip(texts, swaps, weights) if z != SAME) if wrong > 0.5 else None
                 if best and "/" not in best[2]:
-                    out.append((source, token, best[1], "", 99.0, True))
+                    out.append((source, token, best[1], best[2], 99.0, True))
                 elif LOST in token:
                     out.append((source, token, token, "", 99.0, True))
-                else:  # a swap of single characters: the words of a text are put right by the same one
-                    same = model.score(token)
-                    out += [(source, token, w, z, odds, bool(best) and z == best[2]) for w, z in zip(texts, swaps) if z != SAME for odds in [model.score(w) - same] if odds > 0.5]
+                else:  # not sure by itself: the words of a text are put right by the same swap
+                    same = learned.model.score(token)
+                    for w, z in zip(texts, swaps):
+                        odds = learned.model.score(w) - same if z != SAME else 0.0
+                        if odds > 0.5:
+                            out.append((source, token, token.translate(learned.table(source, token, w, z)) if "/" in z else w, z, odds, bool(best) and z == best[2]))
             yield pd.DataFrame(out, columns=["source", "token", "decoded", "swap", "odds", "sure"])
 
     decided = cut(open_.mapInPandas(decide, "source string, token string, decoded string, swap string, odds double, sure boolean"), "decided")
     found = words.join(decided, ["source", "token"])
     clear = found.filter("swap = ''").select("item_id", "token", "decoded")
     maybe = found.filter("swap <> ''")
-    shown = maybe.groupBy("item_id", "swap").agg(F.sum("odds").alias("odds"), F.max("sure").alias("sure")).filter(F.col("sure") | (F.col("odds") > TEXT_ODDS)).groupBy("item_id").agg(F.max_by("swap", F.struct("odds", "swap")).alias("swap"))
-    return clear.unionByName(maybe.join(shown, ["item_id", "swap"]).select("item_id", "token", "decoded")).distinct()
+    # every swap that a text shows, as it may have been garbled in several ways; each word by the likeliest of them
+    shown = maybe.groupBy("item_id", "swap").agg(F.sum("odds").alias("all"), F.max("sure").alias("sure")).filter(F.col("sure") | (F.col("all") > TEXT_ODDS)).select("item_id", "swap", F.struct("sure", "all").alias("by"))
+    right = maybe.drop("sure").join(shown, ["item_id", "swap"]).groupBy("item_id", "token").agg(F.max_by("decoded", F.struct("by", "odds", "decoded")).alias("decoded"))
+    return clear.select("item_id", "token", "decoded").unionByName(right).distinct()
 
 
 def find_garbled(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:

@@ -315,3 +315,39 @@ def test_garbled_texts_are_found_and_restored(spark):
 @given(st.text(alphabet="abé ñüß€…—Łø", max_size=30), st.sampled_from(["latin-1", "cp437", "mac_roman"]))
 def test_undoing_a_misreading(text, page):
     assert encoding.undo_utf8(text.encode().decode(page), page) == text
+
+
+GREEK = ["Η επιτροπή συζήτησε το νέο σχέδιο για την ενέργεια", "Το εργοστάσιο της πόλης έκλεισε μετά την καταιγίδα", "Οι κάτοικοι της πόλης ζήτησαν νέο σχέδιο ενέργειας"]
+RUSSIAN = ["Комитет обсудил новый план развития города", "Станция закрылась после долгой зимней бури", "Жители города просили новый план развития станции"]
+
+
+def test_pages_read_for_one_another_are_restored(spark):
+    """Greek read in cp1251, Russian in cp437 and cp1250, and a text garbled in two ways."""
+    clean = [(f"c{k}.{i}", t, f"s{i % 3}") for i in range(30) for k, t in enumerate([*GREEK, *RUSSIAN, *PLAIN])]
+    bad, right = [], {}
+    for n, (text, written, read) in enumerate([(GREEK[0], "cp1253", "cp1251"), (GREEK[1], "cp1253", "cp1251"), (RUSSIAN[0], "cp1251", "cp437"), (RUSSIAN[1], "cp1251", "cp437"), (RUSSIAN[2], "cp1251", "cp1250")]):
+        bad.append((f"b{n}", text.encode(written).decode(read), f"s{n % 3}"))
+        right[f"b{n}"] = text
+    bad.append(("two", GREEK[2].encode("cp1253").decode("cp1251") + "\n" + PLAIN[1].encode().decode("mac_roman"), "s1"))
+    right["two"] = GREEK[2] + "\n" + PLAIN[1]
+    df = spark.createDataFrame(clean + bad, "id string, text string, source string")
+    fixed = {r["item_id"]: r for r in encoding.restore(df, "id", "text", "source").collect()}
+    assert {i for i, r in fixed.items() if r["garbled"]} == set(right)
+    assert {i: fixed[i]["restored_text"] for i in right} == right
+
+
+def test_garbled_texts_held_out(spark):
+    """Recall and precision on texts garbled at random in one of many ways."""
+    rng = random.Random(12)
+    words = sorted({w for t in PLAIN for w in t.split()})
+    rows, bad = [], set()
+    for i in range(600):
+        text = " ".join(rng.choices(words, k=12))
+        if rng.random() < 0.15 and not text.isascii():
+            new = text.encode().decode(rng.choice(["cp1252", "latin-1", "mac_roman", "cp437", "cp1250"]), errors="ignore")
+            if new != text:
+                text = new
+                bad.add(f"d{i}")
+        rows.append((f"d{i}", text, f"s{i % 4}"))
+    found = {r["item_id"] for r in encoding.find_garbled(spark.createDataFrame(rows, "id string, text string, source string"), "id", "text", "source").collect()}
+    assert len(found & bad) >= 0.98 * len(bad) and len(found & bad) >= 0.98 * len(found)
