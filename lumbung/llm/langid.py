@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumbung.functions.rows import map_keyed
-from lumbung.llm.ftrl import Ftrl, softmax, temperature
+from lumbung.llm.ftrl import Ftrl, Rows, softmax, temperature
 from lumbung.operators.sampling import stratified_hash_sample
 
 LANGUAGES = ("en", "id", "nl", "fr")
@@ -45,11 +45,13 @@ CODES = {
 }
 _BY_CODE = {c: k for k, names in CODES.items() for c in names}
 
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: Letters in a row; not those within codes and digests, which mix them with digits.
+WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’][^\W\d_]+)*(?!\w)")
 _STOP = re.compile(r"(?<=[.!?…])[\"”’»)\]]*\s+(?=[\"“‘«(\[]*[^\W_])|\n[^\S\n]*\n\s*")
 #: A longer stretch without a full stop is cut into windows of this many words.
 WINDOW = 16
-#: Sentences of fewer words have no language of their own; they go with their neighbours.
+#: Sentences of fewer words tell little by themselves: what they say weighs less, so that they mostly go with their
+#: neighbours. A sentence only counts as one of the language that is likeliest by its own words too.
 LEAST_WORDS = 4
 _SWITCH = math.log(0.1)
 
@@ -154,7 +156,9 @@ class _Trainer:
         self.grams = [g for g, n in sorted(df.items(), key=lambda x: (-x[1], x[0])) if n >= 3][:most_grams]
         self.index = {g: i + 1 for i, g in enumerate(self.grams)}  # row 0 is the bias
         self.idf = np.array([0.0, *(math.log((1 + len(samples)) / (1 + df[g])) + 0.3 for g in self.grams)])
-        self.samples = [(*self.vector(words), y) for words, y in samples]
+        vectors = [self.vector(words) for words, _ in samples]
+        self.rows = Rows([r for r, _ in vectors], [v for _, v in vectors])
+        self.labels = np.array([y for _, y in samples], int)
 
     def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         index = self.index
@@ -167,17 +171,14 @@ class _Trainer:
         """(weights, temperature); a tenth of the picked samples is held out for the temperature."""
         ftrl = Ftrl(len(self.grams) + 1, len(LANGUAGES), alpha=1.0, l1=0.01, l2=0.01)
         eye, rng = np.eye(len(LANGUAGES)), np.random.default_rng(seed)
-        held, fit = picked[::10], [i for k, i in enumerate(picked) if k % 10]
+        held, fit = np.array(picked[::10], int), np.array([i for k, i in enumerate(picked) if k % 10], int)
         for _ in range(epochs):
-            for i in rng.permutation(fit):
-                rows, values, y = self.samples[i]
-                ftrl.step(rows, values, eye[y])
+            order = rng.permutation(fit)
+            for lo in range(0, len(order), 8):
+                some = order[lo : lo + 8]
+                ftrl.batch(*self.rows.take(some), lambda x, some=some: softmax(x) - eye[self.labels[some]])
         w = ftrl.weights()
-        labels = np.array([self.samples[i][2] for i in held], int)
-        return w, min(temperature(self.logits(w, held), labels), 6.0)
-
-    def logits(self, w: np.ndarray, picked: list[int]) -> np.ndarray:
-        return np.array([values @ w[rows] for rows, values, _ in (self.samples[i] for i in picked)]).reshape(-1, len(LANGUAGES))
+        return w, min(temperature(self.rows.dot(w, held), self.labels[held]), 6.0)
 
     def model(self, w: np.ndarray, factor: float) -> LanguageModel:
         return LanguageModel({g: i for i, g in enumerate(self.grams)}, w[1:] * self.idf[1:, None], self.idf[1:], w[0], factor)
@@ -187,16 +188,22 @@ class _Trainer:
 CONTRADICTED = 0.2
 
 
-def train(samples: list[tuple[list[str], int]], *, cleanings: int = 2) -> LanguageModel:
+def train(samples: list[tuple[list[str], int]], *, texts: list[int] | None = None, cleanings: int = 3) -> LanguageModel:
     """Fits the model on (words, language index) of sentences. Labels may be wrong: after each of ``cleanings`` first
-    fits, the sentences that contradict theirs are left out of the next fit."""
+    fits, the sentences that contradict theirs are left out of the next fit. ``texts``: the number of the text that each
+    sentence is of, by default its own."""
     trainer = _Trainer(samples)
-    labels = np.array([y for _, y in samples])
+    half = np.array(texts if texts is not None else range(len(samples)), int) % 2
+    labels = trainer.labels
     everything = list(range(len(samples)))
     picked = everything
-    for _ in range(cleanings):
-        w, factor = trainer.fit(picked, 2)
-        own = softmax(trainer.logits(w, everything) * factor)[everything, labels]
+    for turn in range(cleanings):
+        # every sentence is judged by a model that hasn't seen its text
+        own = np.empty(len(labels))
+        for side in (0, 1):
+            w, factor = trainer.fit([i for i in picked if half[i] != side], 2, 7 + turn)
+            other = np.flatnonzero(half == side)
+            own[other] = softmax(trainer.rows.dot(w, other) * factor)[np.arange(len(other)), labels[other]]
         # a class that would lose most of its sentences isn't known well enough yet to be cleaned
         bad = {y: np.mean(own[labels == y] < CONTRADICTED) for y in set(labels.tolist())}
         picked = [i for i in everything if own[i] >= CONTRADICTED or bad[int(labels[i])] > 0.6]
@@ -208,13 +215,13 @@ def fit_language_model(df: DataFrame, id_col: str, text_col: str, label_col: str
     ``most_sentences`` sentences spread over the text. ``extra``: more (text, language) samples."""
     labelled = df.select(F.col(id_col).cast("string").alias("i"), language_code_column(label_col).alias("l"), F.col(text_col).alias("x")).filter(F.col("l").isin(*LANGUAGES) & F.col("x").isNotNull() & F.col("i").isNotNull())
     rows = {r["i"]: (r["x"], r["l"]) for r in stratified_hash_sample(labelled, "i", "l", per_language).collect()}
-    samples = []
-    for text, code in [*(rows[i] for i in sorted(rows)), *(extra or [])]:
+    samples, texts = [], []
+    for number, (text, code) in enumerate([*(rows[i] for i in sorted(rows)), *(extra or [])]):
         found = [w for *_, w in sentences(text) if len(w) >= LEAST_WORDS]
-        samples += [(w, LANGUAGES.index(code)) for w in found[:: max(1, len(found) // most_sentences)]]
-    if not samples:
-        samples = [(["the", "of", "and"], 0), (["yang", "dan", "di"], 1), (["het", "van", "een"], 2), (["le", "des", "est"], 3)]
-    return train(samples)
+        taken = found[:: max(1, len(found) // most_sentences)]
+        samples += [(w, LANGUAGES.index(code)) for w in taken]
+        texts += [number] * len(taken)
+    return train(samples, texts=texts) if samples else LanguageModel({}, np.zeros((0, len(LANGUAGES))), np.zeros(0), np.zeros(len(LANGUAGES)), 1.0)
 
 
 def _paths(logp: np.ndarray) -> list[int]:
@@ -237,6 +244,8 @@ _SEGMENTS = "segment_index int, char_start int, char_end int, sentences int, tex
 
 
 def _segments(batches: Iterator[pd.DataFrame], model: LanguageModel) -> Iterator[pd.DataFrame]:
+    if not model.index:  # nothing was there to learn from
+        return
     score = Scorer(model)
     names = ["item_id", *(c.split()[0] for c in _SEGMENTS.split(", "))]
     for batch in batches:
@@ -246,7 +255,7 @@ def _segments(batches: Iterator[pd.DataFrame], model: LanguageModel) -> Iterator
             for key, text in zip(part["item_id"], part["text"]):
                 if key is None or not text:
                     continue
-                found = [s for s in sentences(text) if len(s[2]) >= LEAST_WORDS] or [s for s in sentences(text) if s[2]]
+                found = [s for s in sentences(text) if s[2]]
                 if found:
                     keys.append(key)
                     spans.append(found)
@@ -257,14 +266,16 @@ def _segments(batches: Iterator[pd.DataFrame], model: LanguageModel) -> Iterator
             for key, found in zip(keys, spans):
                 own = logp[at : at + len(found)]
                 at += len(found)
-                path = _paths(own)
+                size = np.array([len(w) for *_, w in found])
+                path = _paths(own * np.minimum(1.0, size / LEAST_WORDS)[:, None] ** 2)
+                counted = own.argmax(axis=1) == path
                 k, n = 0, 0
                 while k < len(path):
                     end = k
                     while end + 1 < len(path) and path[end + 1] == path[k]:
                         end += 1
                     p = own[k : end + 1]
-                    out.append((key, n, found[k][0], found[end][1], end - k + 1, LANGUAGES[path[k]], float(np.exp(p[:, path[k]]).mean())))
+                    out.append((key, n, found[k][0], found[end][1], int(counted[k : end + 1].sum()), LANGUAGES[path[k]], float(np.exp(p[:, path[k]]).mean())))
                     k, n = end + 1, n + 1
             yield pd.DataFrame(out, columns=names)
 
@@ -273,7 +284,7 @@ def label_segments(df: DataFrame, id_col: str, text_col: str, model: LanguageMod
     """One row for each stretch of each text in one language: (item_id, segment_index, char_start, char_end, sentences,
     text_language, confidence). A map over the rows: no shuffle.
 
-    A null id, and a text that is null, empty or without letters, has no stretch; repeated rows give equal rows; very long
+    A null id, and a text that is null, empty or without letters, has no stretch; nor has any with a model of no samples; repeated rows give equal rows; very long
     texts are one row's work; an empty table gives an empty one; other columns are ignored.
     """
     return map_keyed(df, id_col, {"text": F.col(text_col)}, lambda it: _segments(it, model), _SEGMENTS, drop_null=True)
