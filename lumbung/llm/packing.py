@@ -101,25 +101,31 @@ def pack_sequences(df: DataFrame, id_col: str, text_col: str, *, capacity: int,
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     kind = df.schema[id_col].dataType.simpleString()
+    # rows that repeat an id are told apart by their number in it, which no split of the input changes: they only differ
+    # in their size
     sized = cut(count_tokens(df, id_col, text_col, vocabulary=vocabulary), "sizes")
+    again = sized.groupBy("item_id", "tokens").agg(F.count("*").alias("times"))
+    sized = again.select("item_id", "tokens", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("copy"))
     n = sized.count()
     shards = max(1, math.ceil(n / shard_items))
     # a large text's full sequences need no packing
     full = F.floor(F.col("tokens") / capacity).cast("bigint")
     cuts = F.sequence(F.lit(0).cast("bigint"), F.greatest(full - F.when(F.col("tokens") % capacity == 0, 1).otherwise(0), F.lit(0)).cast("bigint"))
-    parts = sized.select("item_id", F.col("tokens").alias("all"), F.posexplode(cuts).alias("part_index", "k"))
-    parts = parts.select("item_id", "part_index", (F.col("k") * capacity).alias("token_start"), F.least(F.col("all"), (F.col("k") + 1) * capacity).alias("token_end"))
+    parts = sized.select("item_id", "copy", F.col("tokens").alias("all"), F.posexplode(cuts).alias("part_index", "k"))
+    parts = parts.select("item_id", "copy", "all", "part_index", (F.col("k") * capacity).alias("token_start"), F.least(F.col("all"), (F.col("k") + 1) * capacity).alias("token_end"))
     parts = parts.withColumn("tokens", F.col("token_end") - F.col("token_start"))
     whole = (F.col("tokens") == capacity) | (F.col("tokens") == 0)
-    alone = parts.filter(whole).withColumn("sequence_id", F.when(F.col("tokens") > 0, F.concat_ws("-", F.lit("f"), F.col("item_id").cast("string"), F.col("part_index").cast("string"), F.monotonically_increasing_id().cast("string"))))
-    rest = parts.filter(~whole).withColumn("shard", F.pmod(F.xxhash64("item_id", "part_index", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    alone = parts.filter(whole).withColumn("sequence_id", F.when(F.col("tokens") > 0, F.concat_ws("-", F.lit("f"), F.col("item_id").cast("string"), F.col("part_index").cast("string"), F.col("all").cast("string"), F.col("copy").cast("string"))))
+    rest = parts.filter(~whole).withColumn("shard", F.pmod(F.xxhash64("item_id", "part_index", "all", "copy"), F.lit(shards)).cast("int"))
 
     def fill(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values(["tokens", "item_id", "part_index"], ascending=[False, True, True])
+        items = items.sort_values(["tokens", "item_id", "part_index", "copy"], ascending=[False, True, True, True])
         part = pack(items["tokens"].tolist(), capacity)
-        return items.drop(columns="shard").assign(sequence_id=[f"s{key[0]}-{p}" for p in part])
+        return items.drop(columns=["shard", "copy", "all"]).assign(sequence_id=[f"s{key[0]}-{p}" for p in part])
 
-    packed = rest.withColumn("item_id", F.col("item_id").cast("string")).groupBy("shard").applyInPandas(fill, _PACKED).withColumn("item_id", F.col("item_id").cast(kind))
+    # about one shard a task: a shard is few bytes but much work, and an explicit count isn't merged by bytes
+    tasks = min(shards, max(1, 64 * df.sparkSession.sparkContext.defaultParallelism))
+    packed = rest.withColumn("item_id", F.col("item_id").cast("string")).repartition(tasks, "shard").groupBy("shard").applyInPandas(fill, _PACKED).withColumn("item_id", F.col("item_id").cast(kind))
     return packed.unionByName(alone.select("item_id", "part_index", "token_start", "token_end", "tokens", "sequence_id"))
 
 
