@@ -24,7 +24,7 @@ def pairs_within(members: DataFrame, key: str, value: str, block: int | None = N
     return left.join(right, ["k__", "part"]).filter("a < b").select(F.col("k__").alias(key), "a", "b")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *by: str) -> DataFrame:
     """``df`` over two tasks a core, by an explicit count, which adaptive execution doesn't merge by bytes: for maps over
-    few bytes that cost much time."""
-    return df.repartition(max(1, 2 * df.sparkSession.sparkContext.defaultParallelism))
+    few bytes that cost much time. ``by``: columns whose equal values go together, where a task can reuse their work."""
+    return df.repartition(max(1, 2 * df.sparkSession.sparkContext.defaultParallelism), *by)
