@@ -88,11 +88,21 @@ def page_chars(page: str) -> dict[int, str]:
     return out
 
 
+@lru_cache(100_000)
+def starts_in(c: str) -> frozenset[str]:
+    """The pages in which a character could be the first byte of a UTF-8 sequence."""
+    return frozenset(p for p in code_pages() if "\xc2" <= page_bytes(p).get(ord(c), "") <= "\xf4")
+
+
+def readings(text: str) -> list[str]:
+    """The pages, usual ones first, in which some UTF-8 sequence of ``text`` may have been read."""
+    possible = frozenset().union(*(starts_in(c) for c in text if c > "\x7f"))
+    return [p for p in code_pages() if p in possible]
+
+
 def undo_utf8(text: str, page: str) -> str:
     """``text`` with each valid UTF-8 sequence that was read in ``page`` put right; all else as it is."""
     table = page_bytes(page)
-    if not any(ord(c) in table and "\xc2" <= table[ord(c)] <= "\xf4" for c in text):  # nothing could start a sequence
-        return text
 
     def run(m: re.Match) -> str:
         raw = m[0].translate(table)
@@ -146,6 +156,7 @@ def _fit(before: str, run: str, after: str) -> float:
     return sum(math.log(prior(x, y)) for x, y in zip(k, k[1:])) / (len(run) + 1) * 2
 
 
+@lru_cache(50_000)
 def candidates(token: str) -> dict[str, str]:
     """What a token may have been, with the swaps that lead there (SAME for the token itself)."""
     found = {token: SAME}
@@ -153,7 +164,7 @@ def candidates(token: str) -> dict[str, str]:
     for _ in range(3):
         more = []
         for text, chain in todo:
-            for page in code_pages():
+            for page in readings(text):
                 new = undo_utf8(text, page)
                 if new not in found:
                     found[new] = f"{chain}>{page}" if chain else page
@@ -165,10 +176,11 @@ def candidates(token: str) -> dict[str, str]:
     for m in runs:
         here = dict(run_swaps(kind(token[m.start() - 1]) if m.start() else "_", m[0], kind(token[m.end()]) if m.end() < len(token) else "_"))
         options = {z: [*(options or {}).get(z, []), new] for z, new in here.items() if options is None or z in options}
+    parts, made = _ODD.split(token), set()
     for z, news in (options or {}).items():
-        it = iter(news)
-        new = _ODD.sub(lambda _, it=it: next(it), token)
-        found.setdefault(new, z)
+        if (key := tuple(news)) not in made:
+            made.add(key)
+            found.setdefault("".join(x for pair in zip(parts, [*news, ""]) for x in pair), z)
     return found
 
 
@@ -222,6 +234,7 @@ class BigramModel:
             self.letters[kb][b] += n
             self.size[kb] += n
         self.known: dict[tuple[str, str], float] = {}
+        self.scores: dict[str, float] = {}
 
     def log(self, a: str, b: str) -> float:
         if (a, b) not in self.known:
@@ -231,14 +244,19 @@ class BigramModel:
         return self.known[a, b]
 
     def score(self, word: str) -> float:
-        w = f"^{word}$"
-        return sum(map(self.log, w, w[1:]))
+        x = self.scores.get(word)
+        if x is None:
+            if len(self.scores) > 200_000:  # a long task's memory is bounded
+                self.scores.clear()
+            w = f"^{word}$"
+            x = self.scores[word] = sum(map(self.log, w, w[1:]))
+        return x
 
 
 @lru_cache(200_000)
 def suspicious(token: str) -> bool:
     """Left out of the first bigram model: what decodes, or has three odd Latin letters in a row."""
-    return LOST in token or any(undo_utf8(token, p) != token for p in code_pages()) or bool(re.search("[\x80-\x9f]|[À-ɏ]{3}", token))
+    return LOST in token or any(undo_utf8(token, p) != token for p in readings(token)) or bool(re.search("[\x80-\x9f]|[À-ɏ]{3}", token))
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -378,8 +396,8 @@ def garbled_words(df: DataFrame, id_col: str, text_col: str, source_col: str, ro
     of its text that would be likelier by the same swap outweigh TEXT_ODDS together."""
     words = cut(map_keyed(df, id_col, {"source": F.col(source_col).cast("string"), "text": F.col(text_col)}, _words, "source string, token string", drop_null=True), "words")
     tokens = words.groupBy("source", "token").agg(F.count("*").alias("n"))
-    tokens = cut(spread(tokens).mapInPandas(_options, "source string, token string, n bigint, words array<string>, swaps array<string>"), "tokens")
-    open_ = cut(spread(tokens.filter((F.size("words") > 1) | F.col("token").contains(LOST))), "open")
+    tokens = cut(spread(tokens, "token").mapInPandas(_options, "source string, token string, n bigint, words array<string>, swaps array<string>"), "tokens")
+    open_ = cut(spread(tokens.filter((F.size("words") > 1) | F.col("token").contains(LOST)), "token"), "open")
     learned = learn_swaps(tokens.select("source", "token", "n", ((F.size("words") > 1) | F.col("token").contains(LOST)).alias("choice")), open_, rounds)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
