@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -68,52 +70,48 @@ def _units(text: str, target: int) -> list[tuple[int, int]]:
     return out
 
 
-def chunk_text(text: str | None, target: int = TARGET, overlap: int = OVERLAP) -> Iterator[tuple]:
-    """(content, char_start, char_end, token_count, section) of each chunk: whole units packed up to ``target`` tokens;
-    the next chunk takes back the last units of up to ``overlap`` tokens, as far as the new unit leaves room. A last chunk
-    under LEAST tokens is dropped unless it is the only one."""
+def chunk_spans(sizes: list[int], target: int, overlap: int) -> list[tuple[int, int]]:
+    """(first, end) of the units of each chunk, from the units' sizes in tokens, none above ``target``: found by binary
+    search in their prefix sums. A chunk ends where the next unit doesn't fit; the next one goes back over whole units of
+    up to ``overlap`` tokens, as far as the new unit leaves room."""
+    sums = [0, *accumulate(sizes)]
+    out, first = [], 0
+    while first < len(sizes):
+        end = bisect_right(sums, sums[first] + target) - 1
+        out.append((first, end))
+        if end == len(sizes):
+            break
+        first = bisect_left(sums, sums[end] - max(0, min(overlap, target - sizes[end])))
+    return out
+
+
+def chunk_text(text: str | None, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> Iterator[tuple]:
+    """(content, char_start, char_end, token_count, section) of each chunk: whole sentences, runs of words of those above
+    the target. No chunk has more than MOST tokens. A last chunk under ``least`` tokens is left out unless it is the only
+    one, as too short to be found by itself; 0 keeps every one."""
     if not text or not text.strip():
         return
-    sections = [(m.start(), m[1].title()) for m in _HEADING.finditer(text)]
-    held: list[tuple[int, int, int]] = []
-    emitted = 0
-
-    def made() -> tuple:
-        a, b = held[0][0], held[-1][1]
-        content = " ".join(text[x:y] for x, y, _ in held)
+    target = min(target, MOST)
+    units = _units(text, target)
+    heads = [(m.start(), m[1].title()) for m in _HEADING.finditer(text)]
+    spans = chunk_spans([tokens(text[a:b]) for a, b in units], target, overlap)
+    for k, (first, end) in enumerate(spans):
+        content = " ".join(text[a:b] for a, b in units[first:end])
         n = tokens(content)
-        if n > MOST:
-            content = " ".join(content.split()[: int((MOST - 1) / 1.4)])
-            b, n = a + len(content), tokens(content)
-        return content, a, b, n, next((s for at, s in reversed(sections) if at <= a), None)
-
-    for a, b in _units(text, target):
-        size = tokens(text[a:b])
-        if held and sum(n for *_, n in held) + size > target:
-            yield made()
-            emitted += 1
-            room, kept = max(0, min(overlap, target - size)), []
-            for unit in reversed(held):
-                if unit[2] > room:
-                    break
-                kept.insert(0, unit)
-                room -= unit[2]
-            held = kept
-        held.append((a, b, size))
-    if held:
-        last = made()
-        if last[3] >= LEAST or not emitted:
-            yield last
-
-
-def chunk_documents(df: DataFrame, id_col: str, text_cols: list[str], *, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
+        if n < least and k and k == len(spans) - 1:
+            return
+        at = bisect_right(heads, (units[first][0], chr(0x10FFFF)))
+        yield content, units[first][0], units[end - 1][1], n, heads[at - 1][1] if at else None
+
+
+def chunk_documents(df: DataFrame, id_col: str, text_cols: list[str], *, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
     """(item_id, CHUNKS) of each row's first non-empty text column. A map over the rows; null and empty texts have none."""
     text = F.coalesce(*(F.when(F.trim(c) != "", F.col(c)) for c in text_cols))
     names = ["item_id", *(c.split()[0] for c in CHUNKS.split(", "))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(k, i, *c) for k, t in zip(b["item_id"], b["text"]) for i, c in enumerate(chunk_text(t, target, overlap))], columns=names)
+            yield pd.DataFrame([(k, i, *c) for k, t in zip(b["item_id"], b["text"]) for i, c in enumerate(chunk_text(t, target, overlap, least))], columns=names)
 
     return map_keyed(df, id_col, {"text": text}, run, CHUNKS)
 
