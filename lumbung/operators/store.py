@@ -100,13 +100,23 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p, jvm
 
 
-def versions(spark: SparkSession, base: str) -> list[int]:
-    """Published versions of a table, oldest first."""
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p, _ = _fs(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p, _ = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def versions(spark: SparkSession, base: str, whole: bool = True) -> list[int]:
+    """Published versions of a table, oldest first; without ``whole``, also those that are still being written."""
     fs, p, _ = _fs(spark, base)
     if not fs.exists(p):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(p)]
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(_fs(spark, f"{base}/{n}/_SUCCESS")[1]))
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("version=") and (not whole or exists(spark, f"{base}/{n}/_SUCCESS")))
 
 
 def publish(df: DataFrame, base: str, keep: int = 3) -> int:
@@ -118,8 +128,7 @@ def publish(df: DataFrame, base: str, keep: int = 3) -> int:
     df.write.mode("overwrite").parquet(posixpath.join(base, f"version={version}"))
     for old in there:
         if old <= version - keep:
-            fs, p, _ = _fs(spark, posixpath.join(base, f"version={old}"))
-            fs.delete(p, True)
+            remove(spark, posixpath.join(base, f"version={old}"))
     return version
 
 

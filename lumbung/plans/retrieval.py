@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumbung.functions import language, lexer, text, vectors
 from lumbung.operators import bm25, chunks, pdf, retrieval, store
+from lumbung.operators.filters import retrievable
 from lumbung.plans.base import ARTICLES, audit_log, current_articles
+from lumbung.plans.catalog import _LAYERS, duplicate_links
+from lumbung.session import work_dir
 from lumbung.sources.tables import read_dimension, read_table
 
 QUERIES: dict = {}
@@ -39,8 +44,45 @@ def _bm25_sql(words: list[str], where: str = "true", name: str = "b") -> str:
 {name} AS (SELECT p.doc_id AS item_id, sum(f.idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * p.doc_len / n.avg_len))) AS score FROM {name}_p p JOIN {name}_f f ON f.term = p.term, n WHERE p.doc_id IN (SELECT doc_id FROM documents WHERE {where}) GROUP BY 1)"""
 
 
+def _published(spark: SparkSession, sf_dir: str, name: str, build) -> bm25.Bm25Index:
+    """The index published under ``name``; published at its first use in an application. Later searches only read it."""
+    base = f"{work_dir(spark)}/index/{name}/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    if not bm25.published(spark, base):
+        bm25.publish_index(build(), base)
+    return bm25.read_index(spark, base)
+
+
 def _index(spark: SparkSession, sf_dir: str) -> bm25.Bm25Index:
-    return bm25.build_index(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return _published(spark, sf_dir, "documents", lambda: bm25.build_index(read_table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+_READY = f"""{ARTICLES}, {_LAYERS}, ok AS (SELECT a.id, a.title, a.abstract, a.full_text, a.source_slug FROM a JOIN m3 ON m3.id = a.id WHERE a.processing_status = 'ready' AND coalesce(to1, to2, to3) IS NULL)"""
+
+
+def retrievable_articles(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    """Ready articles that duplicate no other."""
+    a = current_articles(spark, sf_dir, ["processing_status", *columns])
+    return a.join(duplicate_links(spark, sf_dir).select("id", "duplicate_of_id"), "id", "left").filter(retrievable()).select("id", *columns)
+
+
+@query(f"WITH {_READY} SELECT id, source_slug FROM ok")
+def retrievable_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrievable_articles(spark, sf_dir, ["source_slug"])
+
+
+ASKED = ["field", "notes", "solar", "panel", "stasiun"]
+
+
+@query(f"""WITH {_READY}, d AS (SELECT id AS doc_id, list_filter(list_distinct(regexp_extract_all(lower(concat_ws(' ', title, abstract, full_text)), '[a-z0-9]+')), lambda w: length(w) > 1 AND w NOT IN {_LIST(lexer.STOPWORDS)}) AS lex FROM ok),
+n AS (SELECT count(*) AS n, avg(len(lex)) AS avg_len FROM d WHERE len(lex) > 0), documents AS (SELECT doc_id FROM d), {_bm25_sql(ASKED)} SELECT item_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, item_id LIMIT 60""")
+def search_ready_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index holds ready articles only, so no search returns others."""
+
+    def build() -> bm25.Bm25Index:
+        a = retrievable_articles(spark, sf_dir, ["title", "abstract", "full_text"])
+        return bm25.build_index(a.select("id", F.concat_ws(" ", "title", "abstract", "full_text").alias("text")), "id", "text")
+
+    return bm25.search(_published(spark, sf_dir, "articles", build), ASKED).select("item_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_LEX}, p AS (SELECT unnest(lex) AS term FROM d) SELECT term, count(*) AS df, round(ln(1 + (n.n - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM p, n GROUP BY term, n.n")
