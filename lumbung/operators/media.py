@@ -179,3 +179,49 @@ def new_narratives(mentions: DataFrame, narratives: DataFrame, as_of: str, *, fr
     recent = narratives.filter((F.col("created_by") == "llm") & (F.col("first_seen_at") > F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {fresh} DAYS")))
     out = mentions.filter("is_relevant").join(recent, "narrative_id").groupBy("issue_id", "narrative_id", "slug").agg(F.count("*").alias("articles")).filter(F.col("articles") >= least)
     return out.withColumns({"confidence": F.bround(0.55 + F.least(F.col("articles") / 20, F.lit(0.35)), 2), "dedup_key": F.concat(F.lit("new_narrative:"), "slug")})
+
+
+def discovered_outlets(attributed: DataFrame) -> DataFrame:
+    """(host, slug, media_type, region): the outlets to be added for items of attribute_outlets whose host no outlet has,
+    one of each host."""
+    new = attributed.filter(F.col("outlet_id").isNull() & (F.col("host") != "")).groupBy("host").agg(F.min("new_slug").alias("slug"), F.min("guess").alias("guess"))
+    return new.select("host", "slug", "guess.media_type", "guess.region")
+
+
+def dashboard(mentions: DataFrame, as_of: str, period: int, kinds: list[str]) -> DataFrame:
+    """One row an issue: mentions of the period and of the one before with the change, its outlets, the split by kind of
+    medium, and the day of most mentions. ``mentions``: issue_id, outlet_id, media_type, published_at, is_relevant."""
+    here = mentions.filter("is_relevant")
+    by = split_by(here, as_of, period, "media_type").groupBy("issue_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("mentions")).alias("o"), "media_type", "mentions", "share_pct"))).alias("by_type"))
+    outlets = here.filter(rolling("published_at", as_of, period)).groupBy("issue_id").agg(F.count_distinct("outlet_id").alias("outlets"))
+    peak = peak_day(daily_series(here, as_of, period, kinds).filter("total > 0"))
+    out = totals(here, as_of, period).join(outlets, "issue_id", "left").join(by, "issue_id", "left").join(peak, "issue_id", "left")
+    return out.withColumns({"outlets": F.coalesce("outlets", F.lit(0)), "by_type": F.coalesce("by_type", F.array())})
+
+
+#: What an alert says, by the rule that found it.
+ALERT_TITLES = {"volume_spike": "Volume spike: {}", "new_narrative": "New narrative: {}", "new_actor": "New actor: {}", "regional_spread": "Regional spread: {}"}
+
+
+def detect_alerts(mentions: DataFrame, narratives: DataFrame, existing: DataFrame, as_of: str, *, least_spike: int = 6, least_actor: int = 4, least_regional: int = 5, least_narrative: int = 3) -> DataFrame:
+    """Alerts of all four rules that aren't in ``existing`` (issue_id, dedup_key): issue_id, rule, dedup_key, severity, title
+    (200 characters at most), confidence (0.99 at most, two places) and up to six evidence ids, the newest first."""
+    week = iso_week(as_of)
+    parts = [
+        volume_spikes(mentions, as_of, least=least_spike).select("issue_id", F.lit("volume_spike").alias("rule"), F.concat(F.lit("volume:"), week).alias("dedup_key"), "severity", F.col("recent").cast("string").alias("what"), "confidence", F.lit(None).cast("string").alias("actor"), F.lit(None).cast("int").alias("narrative_id")),
+        new_narratives(mentions, narratives, as_of, least=least_narrative).select("issue_id", F.lit("new_narrative").alias("rule"), "dedup_key", F.lit("medium").alias("severity"), F.col("slug").alias("what"), "confidence", F.lit(None).cast("string").alias("actor"), F.col("narrative_id").cast("int").alias("narrative_id")),
+        new_actors(mentions, as_of, least=least_actor).select("issue_id", F.lit("new_actor").alias("rule"), "dedup_key", F.lit("medium").alias("severity"), F.col("actor").alias("what"), "confidence", "actor", F.lit(None).cast("int").alias("narrative_id")),
+        regional_spread(mentions, as_of, least=least_regional).select("issue_id", F.lit("regional_spread").alias("rule"), F.concat(F.lit("regional:"), week).alias("dedup_key"), F.lit("high").alias("severity"), F.bround(100 * F.col("fresh_share"), 0).cast("int").cast("string").alias("what"), "confidence", F.lit(None).cast("string").alias("actor"), F.lit(None).cast("int").alias("narrative_id")),
+    ]
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    titles = F.create_map(*(F.lit(x) for k, v in ALERT_TITLES.items() for x in (k, v.replace("{}", ""))))
+    found = found.withColumns({"title": F.substring(F.concat(F.element_at(titles, F.col("rule")), F.col("what")), 1, 200), "confidence": F.bround(F.least("confidence", F.lit(0.99)), 2)})
+    found = found.join(existing.select("issue_id", "dedup_key"), ["issue_id", "dedup_key"], "left_anti")
+    # the newest six of each issue, actor or narrative: ranked before anything is collected
+    recent = mentions.filter(F.col("is_relevant") & (F.col("published_at") > F.lit(as_of).cast("timestamp") - F.expr("INTERVAL 14 DAYS")))
+    keys = [F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("int").alias("n")), F.struct(F.lit(None).cast("string").alias("a"), F.col("narrative_id").cast("int").alias("n"))]
+    each = recent.select("issue_id", "article_id", "published_at", F.explode(F.concat(F.array(*keys), F.transform("actors", lambda a: F.struct(a.alias("a"), F.lit(None).cast("int").alias("n"))))).alias("k"))
+    each = each.withColumn("r", F.row_number().over(Window.partitionBy("issue_id", "k").orderBy(F.desc("published_at"), "article_id"))).filter("r <= 6")
+    ids = each.groupBy("issue_id", "k").agg(F.array_sort(F.collect_list(F.struct("r", "article_id")))["article_id"].alias("evidence_ids"))
+    out = found.alias("f").join(ids.alias("i"), (F.col("f.issue_id") == F.col("i.issue_id")) & F.col("f.actor").eqNullSafe(F.col("i.k.a")) & F.col("f.narrative_id").eqNullSafe(F.col("i.k.n")), "left")
+    return out.select("f.issue_id", "rule", "dedup_key", "severity", "title", "confidence", "evidence_ids")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumbung.functions import vectors
+from lumbung.functions.text import snippet
 
 RRF_K = 60
 RECENCY_YEARS = 8
@@ -104,7 +105,7 @@ def fit_context(citations: DataFrame, budget: int, *, group: list[str] | None =
     new ``index`` from 1."""
     keys = group or []
     w = Window.partitionBy(*keys).orderBy("position")
-    kept = citations.withColumn("running", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("index", F.row_number().over(w))
+    kept = citations.withColumn("running", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumns({"index": F.row_number().over(w), "original_index": F.col("position")})
     return kept.filter((F.col("running") <= budget) | (F.col("index") == 1))
 
 
@@ -129,3 +130,29 @@ def recall_at(ranks: DataFrame, ks: tuple[int, ...] = (5, 10), by: list[str] | N
     """Recall at each k and the mean reciprocal rank of (rank), null where nothing relevant was found."""
     out = ranks.groupBy(*(by or [])).agg(*(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"recall_at_{k}") for k in ks), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"), F.count("*").alias("questions"))
     return out
+
+
+def distinct_ranks(hits: DataFrame, key: str, group: str, at: str) -> DataFrame:
+    """(key, group, rank): the place of each group among the distinct groups of a ranked list, by its first hit."""
+    first = hits.groupBy(key, group).agg(F.min(at).alias("at__"))
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("at__", group))).drop("at__")
+
+
+#: The columns that a page may be sorted by.
+SORTABLE = ("title", "published_at", "updated_at", "chunk_count")
+
+
+def page(rows: DataFrame, sort: str, *, ascending: bool = False, limit: int = 25, offset: int = 0, tie: str = "id") -> DataFrame:
+    """One page of a list: sorted by one of SORTABLE, nulls last, equals by id."""
+    if sort not in SORTABLE:
+        raise ValueError(f"not to be sorted by: {sort}")
+    by = F.asc_nulls_last(sort) if ascending else F.desc_nulls_last(sort)
+    return rows.orderBy(by, tie).offset(offset).limit(limit)
+
+
+def build_citations(ranked: DataFrame, terms: list[str]) -> DataFrame:
+    """What an answer may cite of ranked rows (position, article_id, item_id, title, publisher, journal, source_name,
+    published_at, url, content, rerank): numbered from 1 in their order, with the sentences that hold most of the terms,
+    the score to five places, and the whole content for the model."""
+    day = F.date_format("published_at", "yyyy-MM-dd")
+    return ranked.select(F.row_number().over(Window.orderBy("position")).alias("index"), "article_id", F.col("item_id").alias("chunk_id"), "title", "publisher", F.coalesce("journal", "source_name").alias("source"), day.alias("published_at"), "url", "content", snippet(F.col("content"), terms).alias("snippet"), F.round(F.coalesce("rerank", F.lit(0.0)), 5).alias("score"))  # a handful of rows

@@ -148,3 +148,86 @@ def audit_row(ids: Column, scores: Column, most_ids: int = 50, most_scores: int
 def event_frame(event: str, data: dict) -> str:
     """One server-sent event on one data line."""
     return f"event: {event}\ndata: {json.dumps(data, ensure_ascii=False, default=str)}\n\n"
+
+
+def record_failures(failures: DataFrame, most: int = 2000) -> DataFrame:
+    """Dead letters as they are stored: the message cut to ``most`` characters, nulls as an empty one."""
+    return failures.withColumn("message", F.substring(F.coalesce("message", F.lit("")), 1, most))
+
+
+def lock_fields(locked: Column, changed: Column) -> Column:
+    """The fields that an editor's hand protects: those before and those just changed, each once."""
+    empty = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.coalesce(locked, empty), F.coalesce(changed, empty)))
+
+
+def archive(articles: DataFrame, chunks: DataFrame, ids: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(articles, chunks) after the archiving of ``ids`` (id): rows stay, marked archived with a time; chunks go."""
+    marked = articles.join(ids.select("id").distinct().withColumn("gone__", F.lit(True)), "id", "left")
+    gone = F.col("gone__").isNotNull()
+    kept = [c for c in articles.columns if c not in ("processing_status", "deleted_at")]
+    old = F.col("deleted_at") if "deleted_at" in articles.columns else F.lit(None).cast("timestamp")
+    rows = marked.select(*kept, F.when(gone, "archived").otherwise(F.col("processing_status")).alias("processing_status"), F.when(gone, F.coalesce(old, at)).otherwise(old).alias("deleted_at"))
+    return rows, chunks.join(ids.select(F.col("id").alias("article_id")), "article_id", "left_anti")
+
+
+def visible(rows: DataFrame, owner: str | None = None) -> DataFrame:
+    """Rows that aren't deleted, of one owner if one is asked for."""
+    out = rows.filter(F.col("deleted_at").isNull())
+    return out if owner is None else out.filter(F.col("user_id") == owner)
+
+
+def set_duplicate(links: DataFrame, article: str, target: str | None, known: DataFrame) -> DataFrame:
+    """``links`` (id, duplicate_of_id, duplicate_reason) after an editor linked ``article`` to ``target``, or with None
+    unlinked it. Both are kept as manual, so that no later run changes them. A link to itself, or to an article that
+    isn't ``known`` (id), is refused."""
+    if article == target:
+        raise ValueError("an article can't duplicate itself")
+    if target is not None and known.filter(F.col("id") == target).limit(1).count() == 0:
+        raise ValueError(f"no such article: {target}")
+    kind = links.schema["id"].dataType
+    row = links.sparkSession.range(1).select(F.lit(article).cast(kind).alias("id"), F.lit(target).cast(kind).alias("duplicate_of_id"), F.lit("manual").alias("duplicate_reason"))
+    return links.filter(F.col("id") != article).select("id", "duplicate_of_id", "duplicate_reason").unionByName(row)
+
+
+def get_or_create(existing: DataFrame, wanted: DataFrame, *, group: str = "issue_id", most: int = 12, label_length: int = 120) -> DataFrame:
+    """New rows of ``wanted`` (group, slug, label, created_by, seen_at) that aren't in ``existing`` (group, slug,
+    created_by): one of each slug, labels cut, and of those that a model made only as many as a group may have in all."""
+    fresh = wanted.withColumn("label", F.substring("label", 1, label_length)).groupBy(group, "slug").agg(F.min_by(F.struct("label", "created_by", "seen_at"), F.struct("seen_at", "label")).alias("r"))
+    fresh = fresh.join(existing.select(group, "slug"), [group, "slug"], "left_anti").select(group, "slug", "r.*")
+    have = existing.filter("created_by = 'llm'").groupBy(group).agg(F.count("*").alias("have__"))
+    n = F.row_number().over(Window.partitionBy(group, F.col("created_by") == "llm").orderBy("seen_at", "slug"))
+    out = fresh.withColumn("n__", n).join(have, group, "left")
+    return out.filter((F.col("created_by") != "llm") | (F.col("n__") + F.coalesce("have__", F.lit(0)) <= most)).drop("n__", "have__")
+
+
+def ranked_labels(assigned: DataFrame, known: DataFrame, *, key: str = "article_id", labels: str = "topics", other: str = "other") -> DataFrame:
+    """(key, slug, rank, is_primary): the ranked labels of each row, the first place of one that is named twice, without
+    those that aren't ``known`` (slug); an unknown first one makes ``other`` the primary."""
+    places = assigned.select(key, F.posexplode(labels).alias("at", "slug")).groupBy(key, "slug").agg(F.min("at").alias("at"))
+    first = assigned.select(key, F.try_element_at(labels, F.lit(1)).alias("slug"))
+    lost = first.join(known.select("slug"), "slug", "left_anti").select(key, F.lit(other).alias("slug"), F.lit(-1).alias("at"))
+    rows = places.join(known.select("slug"), "slug", "left_semi").select(key, "slug", "at").unionByName(lost).groupBy(key, "slug").agg(F.min("at").alias("at"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("at"))
+    return rows.withColumn("rank", rank).select(key, "slug", "rank", (F.col("rank") == 1).alias("is_primary"))
+
+
+def overwrite_given(current: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``current`` with the last change of each key (``at`` decides): a null in a change leaves the column as it is."""
+    last = changes.groupBy(key).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(f"new__{c}") for c in columns))
+    out = current.join(last, key, "left")
+    return out.withColumns({c: F.coalesce(f"new__{c}", c) for c in columns}).drop(*(f"new__{c}" for c in columns))
+
+
+def roll_up_vectors(articles: DataFrame, chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunks with their new vectors, articles with embedded_count): vectors (item_id, embedding, model) are written to
+    their chunks (item_id, article_id), and each article's are counted and joined back."""
+    written = chunks.drop("embedding", "model").join(vectors, "item_id", "left")
+    counts = written.filter("embedding is not null").groupBy(F.col("article_id").alias("id")).agg(F.count("*").alias("n__"))
+    return written, articles.join(counts, "id", "left").withColumn("embedded_count", F.coalesce("n__", F.lit(0))).drop("n__")
+
+
+def matched_by_position(items: DataFrame, verdicts: DataFrame, fallback: Column) -> DataFrame:
+    """Items (batch, position, ...) with the verdict that answers their position in the batch, or ``fallback``."""
+    first = verdicts.groupBy("batch", "position").agg(F.min("verdict").alias("verdict"))
+    return items.join(first, ["batch", "position"], "left").withColumn("verdict", F.coalesce("verdict", fallback))
