@@ -85,3 +85,28 @@ def list_about(corpus: Corpus, query: str, variants: list[list[str]], vectors: l
     best = rows.agg(F.max(F.coalesce("semantic", F.lit(0.0))).alias("best")).scalar()
     kept = rows.filter(best >= least_similarity)
     return retrieval.best_per_article(kept)
+
+
+# The sentences of a catalogue's answer.
+ANSWERS = {
+    "en": {"none": "No articles{scope} were found in the collection.", "some": "There are {total} articles{scope} in the collection:", "first": " (the first {shown})", "in": " published in {a}", "both": " published between {a} and {b}", "since": " published since {a}", "until": " published up to {b}", "about": ' about "{topic}"', "untitled": "(untitled)"},
+    "id": {"none": "Tidak ditemukan artikel{scope} dalam koleksi.", "some": "Terdapat {total} artikel{scope} dalam koleksi:", "first": " ({shown} yang pertama)", "in": " yang terbit pada tahun {a}", "both": " yang terbit antara {a} dan {b}", "since": " yang terbit sejak {a}", "until": " yang terbit sampai {b}", "about": ' tentang "{topic}"', "untitled": "(tanpa judul)"},
+}
+
+
+def catalogue_answer(intent: Listing, rows: list[dict], total: int) -> str:
+    """The answer to a catalogue ask: how many articles there are, and those listed (title, publisher, published_at,
+    doc_type), each with its number in square brackets. ``rows`` are the at most LIST_LIMIT of list_articles."""
+    say = ANSWERS.get(intent.language, ANSWERS["en"])
+    a, b = intent.year_from, intent.year_to
+    years = "" if not (a or b) else say["in" if a == b else "both" if a and b else "since" if a else "until"]
+    scope = (years + (say["about"] if intent.topic else "")).format(a=a, b=b, topic=intent.topic)
+    if not rows:
+        return say["none"].format(scope=scope)
+    lines = [(say["some"] + (say["first"] if total > len(rows) else "")).format(total=total, scope=scope, shown=len(rows))]
+    for n, r in enumerate(rows, 1):
+        title = (r.get("title") or say["untitled"]).replace("*", "")  # a star would set bold type
+        details = ", ".join(str(x) for x in (r.get("publisher"), r.get("published_at")) if x)
+        kind = f" · {r['doc_type'].replace('-', ' ')}" if r.get("doc_type") else ""
+        lines.append(f"**{n}. {title}**" + (f" — {details}" if details else "") + f"{kind} [{n}]")
+    return "\n\n".join(lines)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import posixpath
 
@@ -203,7 +204,7 @@ def get_or_create(existing: DataFrame, wanted: DataFrame, *, group: str = "issue
 
 def ranked_labels(assigned: DataFrame, known: DataFrame, *, key: str = "article_id", labels: str = "topics", other: str = "other") -> DataFrame:
     """(key, slug, rank, is_primary): the ranked labels of each row, the first place of one that is named twice, without
-    those that aren't ``known`` (slug); an unknown first one makes ``other`` the primary."""
+    those that aren't ``known`` (slug); where the first is unknown, or there is none, ``other`` is the primary."""
     places = assigned.select(key, F.posexplode(labels).alias("at", "slug")).groupBy(key, "slug").agg(F.min("at").alias("at"))
     first = assigned.select(key, F.try_element_at(labels, F.lit(1)).alias("slug"))
     lost = first.join(known.select("slug"), "slug", "left_anti").select(key, F.lit(other).alias("slug"), F.lit(-1).alias("at"))
@@ -231,3 +232,47 @@ def matched_by_position(items: DataFrame, verdicts: DataFrame, fallback: Column)
     """Items (batch, position, ...) with the verdict that answers their position in the batch, or ``fallback``."""
     first = verdicts.groupBy("batch", "position").agg(F.min("verdict").alias("verdict"))
     return items.join(first, ["batch", "position"], "left").withColumn("verdict", F.coalesce("verdict", fallback))
+
+
+class Newest:
+    """A published table that a long-running reader follows: ``table()`` is the version read last, ``refresh()`` moves on
+    to a newer whole one and says whether it did. A version with less than ``least_rows`` rows is refused, so that a
+    failed export doesn't replace a good one."""
+
+    def __init__(self, spark: SparkSession, base: str, least_rows: int = 1) -> None:
+        self.spark, self.base, self.least = spark, base, least_rows
+        self.version, self.refused, self._table = 0, set(), None
+
+    def refresh(self) -> bool:
+        new = [v for v in versions(self.spark, self.base) if v > self.version and v not in self.refused]
+        for v in reversed(new):
+            df = self.spark.read.parquet(posixpath.join(self.base, f"version={v}"))
+            if df.limit(self.least).count() >= self.least:
+                self.version, self._table = v, df
+                return True
+            self.refused.add(v)
+        return False
+
+    def table(self) -> DataFrame:
+        if self._table is None and not self.refresh():
+            raise FileNotFoundError(f"nothing usable is published under {self.base}")
+        return self._table
+
+
+def apply_seeds(spark: SparkSession, base: str, seeds: list[tuple[str, str, DataFrame]]) -> list[str]:
+    """Publishes seed tables once: (name, content, table) in the order of their names. What was applied is kept with a
+    digest of ``content``; a seed that was changed since is refused, as others may have built on it. Returns the names
+    applied now."""
+    ledger = posixpath.join(base, "seeds_applied")
+    done = {r["name"]: r["digest"] for r in spark.read.parquet(ledger).collect()} if exists(spark, ledger) else {}  # one row a seed
+    new = []
+    for name, content, table in sorted(seeds, key=lambda s: s[0]):
+        digest = hashlib.sha256(content.encode()).hexdigest()
+        if name in done:
+            if done[name] != digest:
+                raise ValueError(f"seed {name} was changed after it had been applied")
+            continue
+        publish(table, posixpath.join(base, name))
+        spark.createDataFrame([(name, digest)], "name string, digest string").coalesce(1).write.mode("append").parquet(ledger)
+        new.append(name)
+    return new

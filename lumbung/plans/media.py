@@ -181,7 +181,7 @@ def stream_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT id, endpoint FROM (SELECT DISTINCT * FROM query_log)")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit log as a stream, each row once."""
+    """The audit log as a stream, each row once. Rows may come months late, so no key is forgotten."""
     schema = spark.read.parquet(f"{sf_dir}/query_log.parquet").schema
     s = ingest.stream_table(spark, f"{sf_dir}/query_log.parquet*", schema, "created_at").select("id", "endpoint", "created_at")
-    return _run(ingest.first_deliveries(s, "created_at", ["id"], "60 days"), spark, "append").select("id", "endpoint")
+    return _run(ingest.first_deliveries(s, "created_at", ["id"], None), spark, "append").select("id", "endpoint")

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lumbung.operators.store import upsert
+from lumbung.operators.store import exists, remove, upsert
 
 LATENESS = "2 days"
+#: Snapshots of an upserted stream that stay beside the newest.
+KEPT = 3
 
 
 def stream_table(spark: SparkSession, path: str, schema: T.StructType, time: str) -> DataFrame:
@@ -28,9 +30,11 @@ def windowed_counts(events: DataFrame, time: str, keys: list[str], *, length: st
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n")
 
 
-def first_deliveries(events: DataFrame, time: str, keys: list[str], lateness: str = LATENESS) -> DataFrame:
-    """One event of each key within the lateness; state older than the watermark is dropped."""
-    if not events.isStreaming:
+def first_deliveries(events: DataFrame, time: str, keys: list[str], lateness: str | None = LATENESS) -> DataFrame:
+    """One event of each key. In a stream, keys are forgotten when they are ``lateness`` behind the newest event, and an
+    event that comes later than that after it, in a later micro-batch, is lost; with None nothing is forgotten or lost,
+    and the state grows with the keys."""
+    if not events.isStreaming or lateness is None:
         return events.dropDuplicates(keys)
     return events.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)
 
@@ -45,16 +49,23 @@ def harvest_since(runs: DataFrame, source: str | None = None, overlap_days: int
 
 def upsert_stream(events: DataFrame, target: str, keys: list[str], checkpoint: str, **how) -> StreamingQuery:
     """Runs all available files through an upsert into ``target``, a folder of snapshot versions: each batch writes the
-    snapshot of its own number from the one before, so a batch that is run again gives the same."""
+    snapshot of its own number from the one before, so a batch that is run again gives the same.
+
+    Only the first batch may find no snapshot; if a later one doesn't find a whole one, or can't read it, it fails and
+    writes nothing. Snapshots more than KEPT batches old are deleted."""
     spark = events.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        base = f"{target}/batch={number - 1}"
-        try:
-            current = spark.read.parquet(base)
-        except Exception:
+        before = f"{target}/batch={number - 1}"
+        if exists(spark, f"{before}/_SUCCESS"):
+            current = spark.read.schema(batch.schema).parquet(before)
+        elif number:
+            raise FileNotFoundError(f"the snapshot before is missing: {before}")
+        else:
             current = spark.createDataFrame([], batch.schema)
         upsert(current, batch, keys, **how).drop("action").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        if number > KEPT:
+            remove(spark, f"{target}/batch={number - KEPT - 1}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -108,3 +119,52 @@ class TagStream:
             yield ("finding", rest.strip()) if self.inside else ("delta", rest)
         self.held = self.found = ""
         self.inside = False
+
+
+class AnswerStream:
+    """An answer in sections, read piece by piece: what is in <answer> comes out as it arrives, each bullet of <findings>
+    once when its line is whole, and <no_evidence> as one event that ends all. What is outside of sections is dropped."""
+
+    SECTIONS = ("answer", "findings", "no_evidence")
+
+    def __init__(self) -> None:
+        self.held, self.section, self.line, self.done = "", "", "", False
+        self.findings: list[str] = []
+
+    def _bullets(self, text: str, last: bool) -> Iterator[tuple[str, str]]:
+        *whole, self.line = (self.line + text).split("\n")
+        if last:
+            whole, self.line = [*whole, self.line], ""
+        for item in (x.strip().lstrip("-*").strip() for x in whole):
+            if item and item not in self.findings:
+                self.findings.append(item)
+                yield "finding", item
+
+    def _out(self, text: str, last: bool) -> Iterator[tuple[str, str]]:
+        if self.section == "answer" and text:
+            yield "delta", text
+        elif self.section == "findings":
+            yield from self._bullets(text, last)
+        elif self.section == "no_evidence":
+            self.line += text
+            if last:
+                yield "no_evidence", self.line.strip()
+                self.line, self.done = "", True
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str]]:
+        self.held += piece
+        while not self.done:
+            tags = [f"</{self.section}>"] if self.section else [f"<{s}>" for s in self.SECTIONS]
+            low = self.held.lower()
+            at, tag = min(((low.find(t), t) for t in tags if t in low), default=(-1, ""))
+            if at < 0:
+                keep = max((n for t in tags for n in range(1, len(t)) if low.endswith(t[:n])), default=0)
+                ready, self.held = self.held[: len(self.held) - keep], self.held[len(self.held) - keep :]
+                yield from self._out(ready, False)
+                return
+            text, self.held = self.held[:at], self.held[at + len(tag) :]
+            if self.section:
+                yield from self._out(text, True)
+                self.section = ""
+            else:
+                self.section = tag.strip("<>")
