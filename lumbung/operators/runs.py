@@ -26,7 +26,8 @@ def run_stages(spark: SparkSession, run_id: str, kind: str, stages: list[tuple[s
 
     A stage returns its counts. One that fails is recorded, and the next ones run: the run is then partial, or failed if
     none succeeded. Runs of the same log don't overlap: each holds a lock, a file beside the log that only one can
-    create; a run that finds it refuses, unless the lock is over STALE seconds old.
+    create; a run that finds it refuses, unless the lock is over STALE seconds old. So does one that finds a run in the
+    log that began since then and hasn't ended.
     """
     release = _lock(spark, f"{log.rstrip('/')}.lock", run_id)
     try:
@@ -61,6 +62,9 @@ def _run(spark: SparkSession, run_id: str, kind: str, stages: list[tuple[str, Ca
         spark.createDataFrame([(run_id, kind, status, began, now, json.dumps(stats), json.dumps(errors))], RUN_SCHEMA).coalesce(1).write.mode("append").parquet(log)
 
     began = datetime.now(timezone.utc)
+    going = [r for r in current_runs(spark, log).filter("status = 'running'").collect() if (began.replace(tzinfo=None) - r["started_at"].replace(tzinfo=None)).total_seconds() < STALE]
+    if going:
+        raise RuntimeError(f"run {going[0]['run_id']} is going on")
     event("running", {}, {})
     stats: dict = {}
     errors: dict = {}
