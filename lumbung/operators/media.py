@@ -66,7 +66,9 @@ def topic_prior(articles: DataFrame, topics: DataFrame, *, text: Column, id_col:
 
     The taxonomy is small and fixed, so it is one array constant beside each row: no join, no row for each pair.
     """
-    rows = topics.filter("is_active").select("slug", "sort_order", "keywords").orderBy("sort_order", "slug").limit(1000).collect()
+    rows = topics.filter("is_active").select("slug", "sort_order", "keywords").orderBy("sort_order", "slug").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("more than 1000 topics; join on tokens instead")
     table = F.array(*(F.struct(F.lit(r["slug"]).alias("slug"), F.lit(int(r["sort_order"])).alias("o"), F.array(*map(F.lit, r["keywords"] or [])).cast("array<string>").alias("k")) for r in rows))
     hits = F.filter(F.transform(table, lambda t: F.struct((-keyword_hits(text, t["k"])).alias("neg"), t["o"].alias("o"), t["slug"].alias("slug"))), lambda h: h["neg"] < 0)
     best = F.transform(F.slice(F.array_sort(hits), 1, most), lambda h: h["slug"])
