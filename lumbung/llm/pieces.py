@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from lumbung.functions.rows import map_keyed
 
-#: Strongest first: after a blank line, after a sentence, after a line, after a blank.
-BOUNDARIES = (re.compile(r"\n[^\S\n]*\n\s*"), re.compile(r"[.!?…][\"'”’»)\]]*\s+"), re.compile(r"\n\s*"), re.compile(r"\s+"))
+#: Strongest first: after a blank line, after a sentence, after a line. The weakest boundary is where a token begins.
+BOUNDARIES = (re.compile(r"\n[^\S\n]*\n\s*"), re.compile(r"[.!?…][\"'”’»)\]]*\s+"), re.compile(r"\n\s*"))
 _TOKEN = re.compile(r"\s*\S+\s*")
 _MARKS = re.compile(r"[̀-ͯ‍️]")
 
@@ -42,18 +42,19 @@ def split_spans(text: str, max_size: int, overlap: int, unit: str = "characters"
         raise ValueError("overlap must be at least 0 and less than max_size")
     if not text:
         return []
-    if unit == "words":
-        starts = token_starts(text)
-        size = len(starts) - 1
-        to_char = starts.__getitem__
-    elif unit == "characters":
-        size, starts, to_char = len(text), None, int
-    else:
+    if unit not in ("words", "characters"):
         raise ValueError(f"no such unit: {unit}")
+    if len(text) <= max_size:  # no unit is shorter than a character
+        return [(0, len(text))]
+    starts = token_starts(text)  # prefix sums of the tokens' lengths
+    words = unit == "words"
+    size = len(starts) - 1 if words else len(text)
     if size <= max_size:
         return [(0, len(text))]
-    ends = [[m.end() for m in b.finditer(text)] for b in BOUNDARIES]
-    to_unit: Callable[[int], int] = (lambda c: bisect_right(starts, c) - 1) if starts else int
+    to_char: Callable[[int], int] = starts.__getitem__ if words else int
+    to_unit: Callable[[int], int] = (lambda c: bisect_right(starts, c) - 1) if words else int
+    # sorted boundaries of each kind; where a token ends, the next begins
+    ends = [*([m.end() for m in b.finditer(text)] for b in BOUNDARIES), starts[1:-1] + ([len(text)] if text[-1].isspace() else [])]
     spans, start = [], 0
     while True:
         limit = start + max_size
@@ -69,7 +70,7 @@ def split_spans(text: str, max_size: int, overlap: int, unit: str = "characters"
                 break
         if end is None or end <= start + overlap:
             end = limit
-            if not starts:  # not between a letter and its marks
+            if not words:  # not between a letter and its marks
                 while end > least and _MARKS.match(text[end]):
                     end -= 1
         spans.append((to_char(start), to_char(end)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,19 +43,30 @@ def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.entity_sizes(names.resolve_names(names.occurrences(articles, ["authors", "publisher"])))
 
 
-def _language_model(articles: DataFrame) -> langid.LanguageModel:
-    return langid.fit_language_model(articles, "id", "full_text", "language")
+_fitted: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, fit: Callable[[], object]) -> object:
+    """A fitted model, kept for this application's other queries on the same tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _fitted:
+        _fitted[key] = fit()
+    return _fitted[key]
+
+
+def _language_model(spark: SparkSession, sf_dir: str, articles: DataFrame) -> langid.LanguageModel:
+    return _once(spark, sf_dir, "languages", lambda: langid.fit_language_model(articles, "id", "full_text", "language"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = read_table(spark, sf_dir, "articles")
-    return langid.language_errors(articles, "id", "full_text", "language", _language_model(articles)).withColumnRenamed("item_id", "article_id")
+    return langid.language_errors(articles, "id", "full_text", "language", _language_model(spark, sf_dir, articles)).withColumnRenamed("item_id", "article_id")
 
 
 def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stretch of every body, with its language and confidence."""
     articles = read_table(spark, sf_dir, "articles")
-    return langid.label_segments(articles, "id", "full_text", _language_model(articles)).distinct().withColumnRenamed("item_id", "article_id")
+    return langid.label_segments(articles, "id", "full_text", _language_model(spark, sf_dir, articles)).distinct().withColumnRenamed("item_id", "article_id")
 
 
 def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +102,7 @@ def p4_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _topic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = read_table(spark, sf_dir, "articles")
     known = [r.asDict() for r in read_dimension(spark, sf_dir, "topics")]
-    model = topics.fit_topics(articles, "id", "title", "abstract", "source_slug", "doc_type", "topic", known)
+    model = _once(spark, sf_dir, "topics", lambda: topics.fit_topics(articles, "id", "title", "abstract", "source_slug", "doc_type", "topic", known))
     return topics.label_topics(articles, "id", "title", "abstract", "source_slug", "doc_type", model)
 
 
