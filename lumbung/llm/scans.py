@@ -47,6 +47,10 @@ _FIRST = np.array([0.89, 0.09, 0.01, 0.01])
 _PAGE_MARK = re.compile(r"[\s\[(–—|-]*(?:(?:page|pg|p|hal|halaman|pagina|seite)\b\.?\s*)?\d{1,5}(?:\s*(?:of|dari|van|de|sur|/)\s*\d{1,5})?[\s\])–—|-]*", re.I)
 _EDGE_NUMBER = re.compile(r"^\s*\d{1,4}(?:\s{2,}|\s*[|–—])\s*\S|\S(?:\s{2,}|\s*[|–—]\s*|,\s+)\d{1,4}\s*$|\(\d{1,2}/\d{4}\)|\bvol\.?\s*\d+|^\W*(?:diunduh|downloaded|printed|dicetak|gedownload|gedrukt|téléchargé|imprimé)\b", re.I)
 _STAMP = re.compile(r"^\W*(?:diunduh|downloaded|printed|dicetak|gedownload|gedrukt|téléchargé|imprimé)\b\D{0,12}\d", re.I)
+_LOADED = re.compile(r"\W*(?:diunduh|downloaded|printed|dicetak|gedownload|gedrukt|téléchargé|imprimé)\b", re.I)
+_NUMBER, _NUMBER5 = re.compile(r"\d+"), re.compile(r"\d{1,5}")
+_FIRST_NUMBER, _LAST_NUMBER = re.compile(r"\d{1,5}\b"), re.compile(r"\b\d{1,5}$")
+_CLOSERS, _STOPS = "\"'”’»)]", tuple(".!?:;…")
 _END = re.compile(r"[.!?:;…][\"'”’»)\]]*\s*$")
 _LOW = re.compile(r"[\W\d]*[a-zß-öø-ÿ]")
 _NUMERIC = re.compile(r"[\d.,%\s-]+")
@@ -60,7 +64,6 @@ _DIGITS = re.compile(r"[\d†][\w†]*(?:[.,]\d[\w†]*)*")
 _ANY_DIGIT = re.compile(r"[\d†]")
 _LONE_DIGITS = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
 _LETTER_LIKE = str.maketrans({"1": "l", "0": "o", "5": "s", "†": "t"})
-_BEFORE = re.compile(r"([^\W\d_]+)\W{1,3}\Z")
 _AFTER = re.compile(r"\s+([^\W\d_]+)")
 _FRAGMENT = re.compile(r"(?<![\w†])[\w†]+[-‐‑¬­][^\S\n]*\n\s*[\w†]*")
 _MISREAD = re.compile(r"[\w†|]+(?:-[\w†|]+)*(?:[.,][\dOlI]+)?")
@@ -125,25 +128,58 @@ def split_lines(text: str) -> list[str]:
     return text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
 
 
-def _template(line: str) -> str:
-    """A line without its digits, case and signs, so that running heads with their page numbers are equal."""
-    if _ANY_DIGIT.search(line):
-        line = _LONE_DIGITS.sub(" ", line).translate(_LETTER_LIKE)
-    return "".join(_LETTERS.findall(line)).casefold()
+class Heads:
+    """Word sets of what may run at the head of a page, and which of them hold a word."""
 
+    def __init__(self, names: list[str]) -> None:
+        self.of: dict[str, list[int]] = defaultdict(list)
+        for i, name in enumerate(names):
+            for w in {w.casefold() for w in _LETTERS.findall(name)}:
+                self.of[w].append(i)
 
-def line_features(lines: list[str], heads: list[set[str]]) -> list[int]:
-    """Bit masks over FEATURES. ``heads``: the word sets of what may run at the head of a page (titles, source names)."""
+    def known(self, words: set[str], own: set[str]) -> bool:
+        """Whether three fifths of a line's words, and two at least, are those of a text's ``own`` title or of one name."""
+        least = max(2, 0.6 * len(words))
+        if len(words) < 2:
+            return False
+        if own and len(words & own) >= least:
+            return True
+        shared = Counter(i for w in words if w in self.of for i in self.of[w])
+        return bool(shared) and max(shared.values()) >= least
+
+
+def title_words(title: object) -> set[str]:
+    return {w.casefold() for w in _LETTERS.findall(title)} if isinstance(title, str) else set()
+
+
+def _counting(b: str) -> re.Match | None:
+    """The number that a line begins or ends with."""
+    m = _FIRST_NUMBER.match(b) if b[0].isdecimal() else None
+    return m or (_LAST_NUMBER.search(b, max(0, len(b) - 6)) if b[-1].isdecimal() else None)
+
+
+def line_features(lines: list[str], heads: Heads, own: set[str]) -> list[int]:
+    """Bit masks over FEATURES. ``heads``: what may run at the head of a page, with the words of the text's ``own`` title."""
     bare = [x.strip() for x in lines]
-    marks = [bool(b) and len(b) < 40 and bool(_PAGE_MARK.fullmatch(b)) for b in bare]
     lengths = sorted(len(b) for b in bare if b)
     wide = lengths[int(len(lengths) * 0.75)] if lengths else 0
     most = max(140, wide)  # what runs over a page's edges isn't longer than the lines between them
-    shapes = [re.sub(r"\d+", "#", b) if m else _template(b) if len(b) <= most else b for b, m in zip(bare, marks)]
+    marks, shapes, edges, words, ends = [], [], [], [], []
+    for x, b in zip(lines, bare):
+        n = len(b)
+        digits = bool(_ANY_DIGIT.search(b))
+        mark = digits and n < 40 and bool(_PAGE_MARK.fullmatch(b))
+        marks.append(mark)
+        small = 0 < n <= most
+        letters = _LETTERS.findall((_LONE_DIGITS.sub(" ", b).translate(_LETTER_LIKE) if digits else b).casefold()) if small else []
+        words.append(letters)
+        # a line without its digits, case and signs, so that running heads with their page numbers are equal
+        shapes.append(_NUMBER.sub("#", b) if mark else "".join(letters) if small else b)
+        edges.append(small and bool(digits and _EDGE_NUMBER.search(x) or _LOADED.match(b)))
+        ends.append(b.rstrip(_CLOSERS)[-1:] in _STOPS)
     often = Counter(s for s, b in zip(shapes, bare) if b)
     filled = [k for k, b in enumerate(bare) if b]
     before, after = dict(zip(filled[1:], filled)), dict(zip(filled, filled[1:]))
-    edges = [bool(b) and len(b) <= most and bool(_EDGE_NUMBER.search(x)) for b, x in zip(bare, lines)]
     # the neighbours in the running text: the nearest lines that don't look like furniture themselves
     plain = [k for k in filled if not (marks[k] or edges[k] or often[shapes[k]] > 1 and len(bare[k]) <= most)]
     left, right, at = {}, {}, 0
@@ -158,7 +194,7 @@ def line_features(lines: list[str], heads: list[set[str]]) -> list[int]:
     where: dict[str, int] = {}
     for k in filled:
         if len(bare[k]) <= most:
-            m = re.search(r"\d{1,5}", bare[k]) if marks[k] else (re.search(r"^\d{1,5}\b", bare[k]) or re.search(r"\b\d{1,5}$", bare[k]))
+            m = _NUMBER5.search(bare[k]) if marks[k] else _counting(bare[k])
             if m:
                 number = int(m[0])
                 if last.get(shapes[k]) == number - 1 and where[shapes[k]] < k - 1:
@@ -169,16 +205,14 @@ def line_features(lines: list[str], heads: list[set[str]]) -> list[int]:
         if not b:
             out.append(1 | (64 << 3 if "\x0c" in line else 0))
             continue
-        p, n = before.get(k), after.get(k)
-        mark = marks[k]
-        column = mark and not (k in counts_on) and any(j is not None and abs(j - k) == 1 and _NUMERIC.fullmatch(bare[j]) for j in (p, n))
-        short = len(b) < 0.8 * wide
-        words = {w.casefold() for w in _LETTERS.findall(_LONE_DIGITS.sub(" ", b).translate(_LETTER_LIKE))} if len(b) <= most else set()
-        known = len(words) >= 2 and any(len(words & h) >= max(2, 0.6 * len(words)) for h in heads)
+        mark, small, lower = marks[k], len(b) <= most, b[0].islower()
+        column = mark and k not in counts_on and any(j is not None and abs(j - k) == 1 and _NUMERIC.fullmatch(bare[j]) for j in (before.get(k), after.get(k)))
         lt, rt = left[k], right[k]
-        mid = lt is not None and rt is not None and not _END.search(bare[lt]) and bool(_LOW.match(bare[rt])) and not b[0].islower()
-        flags = (False, mark, column, often[shapes[k]] > 1 and len(b) <= most, edges[k], bool(_END.search(b)) and not mark, b[0].islower(), short, mid, "\x0c" in line, known, k in counts_on, len(b) <= most and b.isupper() and len(_LETTERS.findall(b)) > 0)
-        out.append(sum(1 << i for i, f in enumerate(flags) if f))
+        mid = not lower and lt is not None and rt is not None and not ends[lt] and bool(_LOW.match(bare[rt]))
+        out.append(
+            mark << 1 | bool(column) << 2 | (small and often[shapes[k]] > 1) << 3 | edges[k] << 4 | (ends[k] and not mark) << 5 | lower << 6 | (len(b) < 0.8 * wide) << 7
+            | mid << 8 | ("\x0c" in line) << 9 | heads.known(set(words[k]), own) << 10 | (k in counts_on) << 11 | (small and b.isupper() and bool(_LETTERS.search(b))) << 12
+        )
     return out
 
 
@@ -279,15 +313,15 @@ def number_tokens(text: str) -> Iterator[tuple[str, bool, str, str]]:
         if text[hi : hi + 1] in ("-", "/") and text[hi + 1 : hi + 2].isalnum():
             continue
         token = text[start:hi]
-        before, after = _BEFORE.search(text, max(0, start - 30), start), _AFTER.match(text, hi)
-        if before and before.start() == start - 30:  # a longer word
-            before = _BEFORE.search(text, 0, start)
-        yield token, not any(c.isalpha() or c == "†" for c in token), f"{before[1].lower()} #" if before else "", f"# {after[1].lower()}" if after else ""
-
-
-def _heads(title: object, names: list[set[str]]) -> list[set[str]]:
-    own = {w.casefold() for w in _LETTERS.findall(title)} if isinstance(title, str) else set()
-    return [own, *names] if own else names
+        # the word before, at most three signs away
+        end = start
+        while end and start - end < 3 and not (text[end - 1].isalnum() or text[end - 1] == "_"):
+            end -= 1
+        at = end
+        while at and text[at - 1].isalnum() and not text[at - 1].isdecimal():
+            at -= 1
+        after = _AFTER.match(text, hi)
+        yield token, not any(c.isalpha() or c == "†" for c in token), f"{text[at:end].lower()} #" if at < end < start else "", f"# {after[1].lower()}" if after else ""
 
 
 def divided_words(lines: list[str], labels: list[int]) -> list[tuple[int, int, str, str, str]]:
@@ -310,8 +344,8 @@ def fit_line_model(df: DataFrame, id_col: str, title_col: str, text_col: str, he
     """The model, fitted on about ``sample`` texts of several lines, those of ids with low hashes."""
     lined = df.select(F.col(id_col).alias("i"), F.col(title_col).alias("t"), F.col(text_col).alias("x")).filter(F.col("x").contains("\n"))
     rows = sorted(hash_sample(lined, "i", sample).collect(), key=lambda r: (str(r["i"]), r["x"]))
-    names = [{w.casefold() for w in _LETTERS.findall(h)} for h in heads]
-    masks = [line_features(split_lines(r["x"]), _heads(r["t"], names)) for r in rows]
+    names = Heads(heads)
+    masks = [line_features(split_lines(r["x"]), names, title_words(r["t"])) for r in rows]
     return LineModel.start().fit(masks) if masks else LineModel.start()
 
 
@@ -319,7 +353,7 @@ def fit_line_model(df: DataFrame, id_col: str, title_col: str, text_col: str, he
 _FOUND = "kind string, item_id string, word string, other string, left_word string, right_word string, n bigint"
 
 
-def _findings(batches: Iterator[pd.DataFrame], model: LineModel, names: list[set[str]]) -> Iterator[pd.DataFrame]:
+def _findings(batches: Iterator[pd.DataFrame], model: LineModel, names: Heads) -> Iterator[pd.DataFrame]:
     """Findings of a partition. kind f: a header line; h: a word divided at a line's end, ``word`` joined, ``other`` with
     its hyphen; s: a spaced word; m: a word that mixes letters and digits, after the word ``other`` and before ``left_word``, in the body ``right_word``;
     d: the distinct words of a text, ``right_word``, with blanks between, and the body's digest, ``left_word``; p: n numbers stand by the word, ``a #`` after it or ``# a`` before it.
@@ -335,7 +369,7 @@ def _findings(batches: Iterator[pd.DataFrame], model: LineModel, names: list[set
             body = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
             lines, headers, parts = split_lines(text), [], set()
             if len(lines) > 1:
-                labels = label(line_features(lines, _heads(title, names)))
+                labels = label(line_features(lines, names, title_words(title)))
                 if HEADER in labels:
                     out.append(("f", key, None, None, None, None, None))
                     headers = [x for x, s in zip(lines, labels) if s == HEADER]
@@ -397,7 +431,7 @@ def scan_findings(df: DataFrame, id_col: str, title_col: str, text_col: str, *,
     """
     slim = df.select(F.col(id_col).cast("string").alias("item_id"), F.col(title_col).alias("title"), F.col(text_col).alias("text"))
     model = fit_line_model(df, id_col, title_col, text_col, heads, sample)
-    names = [{w.casefold() for w in _LETTERS.findall(h)} for h in heads]
+    names = Heads(heads)
     found = cut(slim.mapInPandas(lambda it: _findings(it, model, names), _FOUND), "scan")
     docs = found.filter("kind = 'd'").select("item_id", F.col("left_word").alias("body"), F.col("right_word").alias("words"))
     once = docs.groupBy("body").agg(F.max("words").alias("words"))  # equal but where titles label lines differently
@@ -539,7 +573,7 @@ def repair_scans(df: DataFrame, id_col: str, title_col: str, text_col: str, **ho
                 divided = [f.split(" ") for f in fix if f[0] == "h"]
                 joins = {(x[1], x[2]) for x in divided if len(x) == 4}
                 words = dict(f.split("\t")[1:] for f in fix if f[0] == "c")
-                texts.append(rebuild(text, label(line_features(split_lines(text), _heads(title, names))), joins, words))
+                texts.append(rebuild(text, label(line_features(split_lines(text), names, title_words(title))), joins, words))
             yield pd.DataFrame({"item_id": batch["item_id"], "repaired_text": texts, "damaged": [f is not None and len(f) > 0 for f in batch["fixes"]]})
 
     return slim.join(fixes, "item_id", "left").mapInPandas(mend, "item_id string, repaired_text string, damaged boolean")
