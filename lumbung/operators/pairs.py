@@ -28,3 +28,23 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     """``df`` over two tasks a core, by an explicit count, which adaptive execution doesn't merge by bytes: for maps over
     few bytes that cost much time. ``by``: columns whose equal values go together, where a task can reuse their work."""
     return df.repartition(max(1, 2 * df.sparkSession.sparkContext.defaultParallelism), *by)
+
+
+#: Bits of a sieve at most: 8 MB, whatever the data.
+SIEVE_BITS = 1 << 26
+
+
+def sieve(df: DataFrame, key: str, wanted: DataFrame, *, most_bits: int = SIEVE_BITS) -> DataFrame:
+    """``df`` without most of the rows whose ``key`` isn't in ``wanted`` (a column of the same name): all that are in it, and
+    a few that aren't. To be followed by the exact join, which then shuffles less.
+
+    The keys of ``wanted`` set bits of a bitmap by their hash, about eight bits a key and ``most_bits`` at most; the bitmap,
+    never more than 8 MB, is broadcast. Beyond eight million keys it lets more and more through, and in the end all.
+    """
+    bits = min(most_bits, max(1 << 15, 1 << (8 * wanted.count()).bit_length()))
+    at = (F.pmod(F.xxhash64(key), F.lit(bits)) + 1).alias("at__")
+    marks = wanted.select(at).groupBy(F.bitmap_bucket_number("at__").alias("bucket__")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at__")).alias("map__"))
+    rows = df.withColumn("at__", at).withColumn("bucket__", F.bitmap_bucket_number("at__")).withColumn("bit__", F.bitmap_bit_position("at__"))
+    byte = F.conv(F.hex(F.substring("map__", (F.col("bit__") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), F.col("bit__") % 8).cast("int")) != 0
+    return rows.join(F.broadcast(marks), "bucket__").filter(hit).select(*df.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumbung.operators.components import connected_components
-from lumbung.operators.pairs import pairs_within, spread
+from lumbung.operators.pairs import pairs_within, sieve, spread
 from lumbung.operators.sampling import hash_sample, stratified_hash_sample
 
 
@@ -35,3 +35,12 @@ def test_pairs_of_a_hot_group_are_made_in_blocks(spark):
 def test_spread_work_is_not_merged(spark):
     tasks = spread(spark.range(10)).select(F.spark_partition_id().alias("p")).distinct().count()
     assert tasks >= 4
+
+
+def test_a_sieve_keeps_all_that_is_wanted(spark):
+    df = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"), "id")
+    wanted = df.filter("id % 20 = 3").select("k")
+    kept = sieve(df, "k", wanted)
+    assert kept.columns == ["k", "id"] and kept.join(wanted, "k", "left_semi").count() == 1000 and kept.count() < 5000
+    assert sieve(df, "k", wanted, most_bits=1 << 15).join(wanted, "k", "left_semi").count() == 1000
+    assert sieve(df, "k", wanted.limit(0)).count() == 0 and sieve(df.limit(0), "k", wanted).count() == 0
