@@ -36,7 +36,8 @@ SIEVE_BITS = 1 << 26
 
 def sieve(df: DataFrame, key: str, wanted: DataFrame, *, most_bits: int = SIEVE_BITS) -> DataFrame:
     """``df`` without most of the rows whose ``key`` isn't in ``wanted`` (a column of the same name): all that are in it, and
-    a few that aren't. To be followed by the exact join, which then shuffles less.
+    a few that aren't. To be followed by the exact join, which then shuffles less: an inner join with the distinct keys, as
+    the optimizer would do a left semi join before the sieve.
 
     The keys of ``wanted`` set bits of a bitmap by their hash, about eight bits a key and ``most_bits`` at most; the bitmap,
     never more than 8 MB, is broadcast. Beyond eight million keys it lets more and more through, and in the end all.
