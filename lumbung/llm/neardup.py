@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumbung.operators.components import connected_components
-from lumbung.operators.pairs import pairs_within
+from lumbung.operators.pairs import pairs_within, sieve
 from lumbung.session import cut
 
 WORD = re.compile(r"[^\W_]+")
@@ -166,7 +166,8 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_cols: list[str], *,
     # the texts of only those that have a partner, once each
     partners = pairs.select(F.explode(F.array("item_a", "item_b")).alias("item_id")).distinct()
     texts = df.select(F.col(id_col).cast("string").alias("item_id"), F.concat_ws(" ", *text_cols).alias("text"))
-    texts = cut(texts.join(partners, "item_id", "left_semi").dropDuplicates(["item_id"]), "texts")
+    partners = cut(partners, "partners")
+    texts = cut(sieve(texts, "item_id", partners).join(partners, "item_id").dropDuplicates(["item_id"]), "texts")
     sides = pairs.join(texts.select(F.col("item_id").alias("item_a"), F.col("text").alias("text_a")), "item_a")
     sides = sides.join(texts.select(F.col("item_id").alias("item_b"), F.col("text").alias("text_b")), "item_b")
     links = sides.mapInPandas(lambda it: _similar(it, shingle, threshold), "item_a string, item_b string, similarity double")
