@@ -11,6 +11,7 @@ UTF-8 may lie up to three deep. The learned mapping is applied to the words by t
 from __future__ import annotations
 
 import encodings.aliases
+import html
 import math
 import re
 import unicodedata
@@ -57,8 +58,9 @@ LOST = "�"
 SAME = "-"
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 _ODD = re.compile(r"[^\x00-\x7f]+")
-#: A word with a character beyond ASCII, between ASCII blanks.
-_TOKEN = re.compile(r"[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*")
+#: A word with a character beyond ASCII, or a numeric reference to a character, between ASCII blanks.
+_REFERENCE = re.compile(r"&#(?:[xX][0-9A-Fa-f]{2,6}|[0-9]{2,7});")
+_TOKEN = re.compile(rf"[^\x00-\x20]*(?:[^\x00-\x7f]|{_REFERENCE.pattern})[^\x00-\x20]*")
 
 
 @lru_cache(None)
@@ -259,11 +261,16 @@ def suspicious(token: str) -> bool:
     return LOST in token or any(undo_utf8(token, p) != token for p in readings(token)) or bool(re.search("[\x80-\x9f]|[À-ɏ]{3}", token))
 
 
+def plain(token: str) -> str:
+    """A token with its numeric references as the characters that they are: garbled text is often kept so."""
+    return _REFERENCE.sub(lambda m: html.unescape(m[0]), token) if "&#" in token else token
+
+
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         seen = Counter()
         for key, source, text in zip(batch["item_id"], batch["source"], batch["text"]):
-            if key is not None and text and not text.isascii():
+            if key is not None and text and (not text.isascii() or "&#" in text):
                 for w in set(_TOKEN.findall(text)):
                     seen[key, source or "", w] += 1
         yield pd.DataFrame(list(seen), columns=["item_id", "source", "token"])
@@ -271,7 +278,7 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _options(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        options = [list(candidates(t).items()) for t in b["token"]]
+        options = [list(candidates(plain(t)).items()) for t in b["token"]]
         yield b.assign(words=[[w for w, _ in o] for o in options], swaps=[[z for _, z in o] for o in options])
 
 
@@ -343,11 +350,11 @@ def learn_swaps(tokens: DataFrame, open_: DataFrame, rounds: int = 3, most_rows:
         def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 out, swaps, units = defaultdict(float), defaultdict(float), defaultdict(float)
-                for source, token, n, words, chains in zip(b["source"], b["token"], b["n"], b["words"], b["swaps"]):
-                    for word, z, p in zip(words, chains, learned.weigh(source, token, words, chains)):
+                for source, n, words, chains in zip(b["source"], b["n"], b["words"], b["swaps"]):
+                    for word, z, p in zip(words, chains, learned.weigh(source, words[0], words, chains)):
                         if p > 1e-4:
                             swaps[source, z] += n * p
-                            for u, c in garbled_units(token, word, z) if p > 1e-2 else ():
+                            for u, c in garbled_units(words[0], word, z) if p > 1e-2 else ():
                                 units[source, c, u] += n * p
                             if LOST not in word:
                                 w = f"^{word}$"
@@ -397,26 +404,29 @@ def garbled_words(df: DataFrame, id_col: str, text_col: str, source_col: str, ro
     words = cut(map_keyed(df, id_col, {"source": F.col(source_col).cast("string"), "text": F.col(text_col)}, _words, "source string, token string", drop_null=True), "words")
     tokens = words.groupBy("source", "token").agg(F.count("*").alias("n"))
     tokens = cut(spread(tokens, "token").mapInPandas(_options, "source string, token string, n bigint, words array<string>, swaps array<string>"), "tokens")
-    open_ = cut(spread(tokens.filter((F.size("words") > 1) | F.col("token").contains(LOST)), "token"), "open")
-    learned = learn_swaps(tokens.select("source", "token", "n", ((F.size("words") > 1) | F.col("token").contains(LOST)).alias("choice")), open_, rounds)
+    # from here on, the first word is the token as it is read, and the token only its name
+    choice = (F.size("words") > 1) | F.col("words")[0].contains(LOST)
+    open_ = cut(spread(tokens.filter(choice), "token"), "open")
+    learned = learn_swaps(tokens.select("source", F.col("words")[0].alias("token"), "n", choice.alias("choice")), open_, rounds)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for source, token, texts, swaps in zip(b["source"], b["token"], b["words"], b["swaps"]):
-                weights = learned.weigh(source, token, texts, swaps)
+                read = texts[0]
+                weights = learned.weigh(source, read, texts, swaps)
                 wrong = sum(p for z, p in zip(swaps, weights) if z != SAME)
                 best = max((p, w, z) for w, z, p in zip(texts, swaps, weights) if z != SAME) if wrong > 0.5 else None
                 if best and "/" not in best[2]:
                     out.append((source, token, best[1], best[2], 99.0, True))
-                elif LOST in token:
-                    out.append((source, token, token, "", 99.0, True))
+                elif LOST in read:
+                    out.append((source, token, read, "", 99.0, True))
                 else:  # not sure by itself: the words of a text are put right by the same swap
-                    same = learned.model.score(token)
+                    same = learned.model.score(read)
                     for w, z in zip(texts, swaps):
                         odds = learned.model.score(w) - same if z != SAME else 0.0
                         if odds > 0.5:
-                            out.append((source, token, token.translate(learned.table(source, token, w, z)) if "/" in z else w, z, odds, bool(best) and z == best[2]))
+                            out.append((source, token, read.translate(learned.table(source, read, w, z)) if "/" in z else w, z, odds, bool(best) and z == best[2]))
             yield pd.DataFrame(out, columns=["source", "token", "decoded", "swap", "odds", "sure"])
 
     decided = cut(open_.mapInPandas(decide, "source string, token string, decoded string, swap string, odds double, sure boolean"), "decided")

@@ -351,3 +351,11 @@ def test_garbled_texts_held_out(spark):
         rows.append((f"d{i}", text, f"s{i % 4}"))
     found = {r["item_id"] for r in encoding.find_garbled(spark.createDataFrame(rows, "id string, text string, source string"), "id", "text", "source").collect()}
     assert len(found & bad) >= 0.98 * len(bad) and len(found & bad) >= 0.98 * len(found)
+
+
+def test_garbled_text_in_references(spark):
+    garbled = "".join(c if c.isascii() else f"&#{ord(c)};" for c in PLAIN[0].encode().decode("cp1252", errors="ignore"))
+    rows = [(i, t, "s") for i, t in enumerate(PLAIN * 20)] + [(900, garbled, "s"), (901, "caf&#233; of the ch&#xE2;teau &#38; more", "s")]
+    fixed = {r["item_id"]: r for r in encoding.restore(spark.createDataFrame(rows, "id int, text string, source string"), "id", "text", "source").collect()}
+    assert {i for i, r in fixed.items() if r["garbled"]} == {900} and fixed[901]["restored_text"] == rows[-1][1]
+    assert fixed[900]["restored_text"] == PLAIN[0]
