@@ -60,7 +60,7 @@ _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec
 _ODD = re.compile(r"[^\x00-\x7f]+")
 #: A word with a character beyond ASCII, or a numeric reference to a character, between ASCII blanks.
 _REFERENCE = re.compile(r"&#(?:[xX][0-9A-Fa-f]{2,6}|[0-9]{2,7});")
-_TOKEN = re.compile(rf"[^\x00-\x20]*(?:[^\x00-\x7f]|{_REFERENCE.pattern})[^\x00-\x20]*")
+_TOKEN = re.compile(rf"(?<![^\x00-\x20])[^\x00-\x20]*(?:[^\x00-\x7f]|{_REFERENCE.pattern})[^\x00-\x20]*")
 
 
 @lru_cache(None)
