@@ -17,9 +17,10 @@ def _edges(page: Column) -> Column:
 
 def running_lines(pages: Column) -> Column:
     """Lines at the edges of at least 60 % of three or more pages (two at least)."""
-    edges = F.flatten(F.transform(pages, _edges))
+    edges = F.array_sort(F.flatten(F.transform(pages, _edges)))
     most = F.greatest(F.lit(2), F.floor(F.size(pages) * 0.6).cast("int"))
-    often = F.filter(F.array_distinct(edges), lambda x: F.size(F.filter(edges, lambda y: y == x)) >= most)
+    # in their order, a line that is there so often stands again so many places on
+    often = F.array_distinct(F.filter(edges, lambda x, i: F.coalesce(F.get(edges, i + most - 1) == x, F.lit(False))))
     return F.when(F.size(pages) >= 3, often).otherwise(F.array().cast("array<string>"))
 
 
