@@ -359,3 +359,20 @@ def test_garbled_text_in_references(spark):
     fixed = {r["item_id"]: r for r in encoding.restore(spark.createDataFrame(rows, "id int, text string, source string"), "id", "text", "source").collect()}
     assert {i for i, r in fixed.items() if r["garbled"]} == {900} and fixed[901]["restored_text"] == rows[-1][1]
     assert fixed[900]["restored_text"] == PLAIN[0]
+
+
+def test_languages_held_out(spark, model):
+    """Recall and precision of errors on bodies that the model hasn't seen, a third of them in two languages."""
+    rng = random.Random(31)
+    rows, want = [], set()
+    for i in range(240):
+        a, b = rng.sample(sorted(ALL), 2)
+        mixed = i % 3 == 0
+        text = " ".join(rng.sample(ALL[a], 3)) + ("\n\n" + " ".join(rng.sample(ALL[b], 3)) if mixed else "")
+        label = rng.choice([a, None, b])
+        rows.append((f"t{i}", label, text))
+        if mixed or label != a:
+            want |= {(f"t{i}", a)} | ({(f"t{i}", b)} if mixed else set())
+    df = spark.createDataFrame(rows, "id string, language string, text string")
+    got = {(r["item_id"], r["text_language"]) for r in langid.language_errors(df, "id", "text", "language", model).collect()}
+    assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)

@@ -227,3 +227,25 @@ def test_short_strings_have_all_their_pairs(spark):
     for edits in (1, 2):
         got = {(r["key_a"], r["key_b"]) for r in names.segment_join(spark.createDataFrame([(w,) for w in words], "key string"), edits=edits).collect()}
         assert got == {(a, b) for a in words for b in words if a < b and names.edit_distance(a, b, edits) <= edits}
+
+
+def test_names_held_out(spark):
+    """Recall and precision of pairs on people written at random in many ways, with misspellings."""
+    rng = random.Random(21)
+    syllables = ["wi", "jo", "kar", "tan", "sul", "mer", "bon", "ra", "di", "ken", "pur", "no"]
+    families = sorted({"".join(rng.choices(syllables, k=4)) for _ in range(60)})
+    given = ["Ratna", "Budiman", "Clarissa", "Dewanto", "Erikson", "Farida", "Gunawan", "Hadiyanto"]
+    truth: dict[str, int] = {}
+    for n, family in enumerate(families):
+        for k, name in enumerate(rng.sample(given, 2)):
+            who, f = n * 10 + k, family.capitalize()
+            wrong = list(family)
+            at = rng.randrange(2, len(wrong) - 2)
+            wrong[at], wrong[at + 1] = wrong[at + 1], wrong[at]
+            forms = [f"{name} {f}", f"{f}, {name}", f"Dr. {name} {f}", f"{f.upper()} {name}", f"{name} {f}, PhD", f"{name} {''.join(wrong).capitalize()}"]
+            truth |= {s: who for s in rng.sample(forms[:-1], 4) + forms[-1:]}
+    got = entities(spark, list(truth))
+    names_ = sorted(truth)
+    want = {(a, b) for i, a in enumerate(names_) for b in names_[i + 1 :] if truth[a] == truth[b]}
+    found = {(a, b) for i, a in enumerate(names_) for b in names_[i + 1 :] if got[a] == got[b]}
+    assert len(want & found) >= 0.97 * len(want) and len(want & found) >= 0.99 * len(found)
